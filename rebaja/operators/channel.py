@@ -7,7 +7,7 @@ from rebaja import constants as C
 from rebaja.functions import columns as X, pricing as P
 from rebaja.operators import lookups
 
-KEYS = ["brand", "codigo_padre", "channel"]
+KEYS = ["brand", "week", "codigo_padre", "channel"]
 
 
 def weighted_mean(value: str, weight: Column) -> Column:
@@ -49,7 +49,7 @@ def _name(rank: Column, names: list[str]) -> Column:
 def channel_groups(rows: DataFrame, costs: DataFrame, elasticity: DataFrame) -> DataFrame:
     """Parent-channel aggregates with raw cost (no rebate) and elasticity."""
     vel = F.coalesce("velocity_4w", F.lit(0.0))
-    agg = rows.withColumn("channel", X.channel_of("centro")).groupBy(*KEYS, "week").agg(
+    agg = rows.withColumn("channel", X.channel_of("centro")).groupBy(*KEYS).agg(
         F.countDistinct("centro").alias("n_stores"), F.round(F.sum(vel), 6).alias("velocity"),
         F.concat_ws(",", F.array_sort(F.collect_set("centro"))).alias("stores_in_channel"),
         F.sum("stock_on_hand").alias("stock"), F.median("avg_precio_lista").alias("list_price"),

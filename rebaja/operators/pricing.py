@@ -275,15 +275,15 @@ def markdown_pass(rows: DataFrame) -> DataFrame:
 def ecomm_overlay(actions: DataFrame, rows: DataFrame) -> DataFrame:
     """Online price, discount and velocity of the parent on each of its actions."""
     online = X.is_ecomm("centro")
-    web = rows.groupBy("brand", F.col("codigo_padre").alias("parent_sku")).agg(
+    web = rows.groupBy("brand", "week", F.col("codigo_padre").alias("parent_sku")).agg(
         F.median(F.when(online, F.col("avg_precio_final"))).alias("ecomm_price"),
         F.median(F.when(online, F.col("discount_rate"))).alias("ecomm_discount"),
         F.sum(F.when(online, F.col("velocity_4w"))).alias("_web"),
         F.coalesce(F.sum(F.when(~online, F.col("click_collect_units"))), F.lit(0)).alias("_pickup"), F.count_if(online).alias("_n"))
-    web = web.where("_n > 0").select("brand", "parent_sku", "ecomm_price", "ecomm_discount",
+    web = web.where("_n > 0").select("brand", "week", "parent_sku", "ecomm_price", "ecomm_discount",
                                      F.round(F.col("_web") + F.col("_pickup"), 6).alias("ecomm_velocity"))
     gap = (F.col("current_price") - F.col("ecomm_price")) / F.col("current_price") * 100
-    return actions.join(web, ["brand", "parent_sku"], "left").withColumn(
+    return actions.join(web, ["brand", "week", "parent_sku"], "left").withColumn(
         "ecomm_price_gap_pct", F.when((F.col("ecomm_price") > 0) & (F.col("current_price") != 0), X.half_even(gap, 1)))
 
 

@@ -56,11 +56,14 @@ def valid_prices(prices: DataFrame, as_of: Column) -> DataFrame:
 def active_rebates(rebates: DataFrame, weeks: DataFrame) -> DataFrame:
     """Highest supplier contribution per parent among events that cover the week.
 
-    ``weeks`` has one row per brand (brand, week).
+    ``weeks``: the (brand, week) pairs asked for, at most the weeks of the
+    calendar for each brand. An event is exploded to the Mondays it covers, so
+    the join is on equal weeks, not on a range.
     """
-    covering = (F.col("fecha_inicio") <= F.col("week")) & (F.col("fecha_termino") >= F.col("week"))
+    first = F.trunc(F.date_add("fecha_inicio", 6), "week")
+    mondays = F.when(first <= F.col("fecha_termino"), F.sequence(first, F.col("fecha_termino"), F.expr("INTERVAL 7 DAYS")))
     return (
-        rebates.join(F.broadcast(weeks.select("brand", "week")), "brand").where(covering)
+        rebates.withColumn("week", F.explode(mondays)).join(F.broadcast(weeks.select("brand", "week")), ["brand", "week"])
         .groupBy("brand", "parent_sku", "week").agg(F.max("aporte_unitario").alias("rebate"))
     )
 

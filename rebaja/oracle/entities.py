@@ -12,7 +12,8 @@ SELECT p_partkey, p_type, p_size, q,
 FROM (SELECT *, CAST(replace(p_brand, 'Brand#', '') AS INT) AS q FROM part) p""",
     "fx_products": """
 SELECT DISTINCT brand, codigo_padre || '-' || CAST(size_ix AS VARCHAR) AS material,
-       'W ' || p_type || ' ' || CAST(q AS VARCHAR) || ' N° ' || talla AS material_descripcion,
+       'W ' || p_type || ' ' || CAST(q AS VARCHAR) || ' ' || upper(CASE q % 4 WHEN 0 THEN 'Negro' WHEN 1 THEN 'Blanco'
+         WHEN 2 THEN 'Azul' ELSE 'Rojo' END) || ' N° ' || talla AS material_descripcion,
        codigo_padre, talla,
        CASE WHEN q % 5 <> 0 THEN '78' || lpad(CAST(q AS VARCHAR), 4, '0') || CAST(size_ix AS VARCHAR) END AS ean11,
        prefix AS grupo_articulos,

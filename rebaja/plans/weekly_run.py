@@ -107,7 +107,7 @@ class WeeklyRun:
     def history(self) -> DataFrame:
         """Actions of all weeks old enough to have outcomes, as past runs would have left them."""
         weeks = self.parent.select("brand", "week").distinct()
-        return materialise(A.weekly_actions(self.rows_for(weeks)), "history")
+        return materialise(A.weekly_actions(materialise(self.rows_for(weeks), "history_rows")), "history")
 
     @cached_property
     def outcomes(self) -> DataFrame:

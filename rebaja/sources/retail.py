@@ -50,10 +50,10 @@ class RetailTables:
     def products(self) -> DataFrame:
         ix, q = F.col("size_ix"), F.col("q")
         base = self.parts.select("brand", "codigo_padre", "q", "p_type", "size_ix").distinct()
-        talla = _pick(_SIZES, ix)
+        talla, colour = _pick(_SIZES, ix), _pick(["Negro", "Blanco", "Azul", "Rojo"], q % 4)
         return base.select(
             "brand", F.concat("codigo_padre", F.lit("-"), ix.cast("string")).alias("material"),
-            F.concat(F.lit("W "), "p_type", F.lit(" "), q.cast("string"), F.lit(" N° "), talla)
+            F.concat(F.lit("W "), "p_type", F.lit(" "), q.cast("string"), F.lit(" "), F.upper(colour), F.lit(" N° "), talla)
             .alias("material_descripcion"),
             "codigo_padre", talla.alias("talla"),
             F.when(q % 5 != 0, F.concat(F.lit("78"), F.lpad(q.cast("string"), 4, "0"), ix.cast("string"))).alias("ean11"),
@@ -65,7 +65,7 @@ class RetailTables:
             F.concat("p_type", F.lit("-"), (q % 2).cast("string")).alias("tercera_jerarquia"),
             F.when(q % 2 == 0, "Hombre").otherwise("Mujer").alias("genero"),
             F.when(q % 7 == 0, "Infantil").otherwise("Adulto").alias("grupo_etario"),
-            _pick(["Negro", "Blanco", "Azul", "Rojo"], q % 4).alias("color1"),
+            colour.alias("color1"),
         )
 
     @cached_property
@@ -205,6 +205,22 @@ class RetailTables:
                 1 - F.col("comp_price") / F.col("comp_list_price"), 3)).otherwise(0.0))
         )
 
+    @cached_property
+    def competitor_pages(self) -> DataFrame:
+        """One product page per competitor price, with the offer as JSON-LD inside the markup."""
+        first = self.parts.groupBy("brand", "codigo_padre").agg(F.min("p_type").alias("kind"), F.min("q").alias("q"))
+        offer = F.struct(
+            F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"),
+            F.concat(F.initcap("kind"), F.lit(" "), F.col("q").cast("string"), F.lit(" Mujer")).alias("name"),
+            F.struct(F.col("comp_price").cast("long").cast("string").alias("price"),
+                     F.when(F.col("comp_in_stock"), "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock")
+                     .alias("availability")).alias("offers"))
+        return self.competitor_prices.join(first, ["brand", "codigo_padre"]).select(
+            "brand", "codigo_padre", "competitor", F.concat_ws("|", "codigo_padre", "competitor").alias("page_id"),
+            F.concat(F.lit("https://"), F.regexp_replace(F.lower("competitor"), "#", ""), F.lit(".example/p/"), "codigo_padre").alias("url"),
+            F.concat(F.lit("<html><head><title>x</title><script type=\"application/ld+json\">\n"), F.to_json(offer),
+                     F.lit("\n</script></head><body><h1>Oferta</h1></body></html>")).alias("html"))
+
     @cached_property
     def markdown_contribution(self) -> DataFrame:
         """Supplier contribution per child SKU: a share of the discounts it was sold with."""
