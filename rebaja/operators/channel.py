@@ -43,7 +43,10 @@ def _rank(column: str, names: list[str], default: int) -> Column:
 
 
 def _name(rank: Column, names: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), (rank + 1).cast("int"))
+    out = F.lit(None).cast("string")
+    for i, name in enumerate(names):
+        out = F.when(rank == i, name).otherwise(out)
+    return out
 
 
 def channel_groups(rows: DataFrame, costs: DataFrame, elasticity: DataFrame) -> DataFrame:
@@ -67,9 +70,8 @@ def store_profit(rows: DataFrame, groups: DataFrame) -> DataFrame:
     df = rows.withColumn("channel", X.channel_of("centro")).join(shared, KEYS).withColumns({
         "_v": F.coalesce("velocity_4w", F.lit(0.0)), "_p": F.coalesce("avg_precio_final", "_channel_price"),
         "_d": F.coalesce("discount_rate", F.lit(0.0))})
-    best = P.best_step("list_price", "_p", "_d", "_v", "cost", "e")
-    return df.where("_v > 0").withColumn("_best", best).groupBy(*KEYS).agg(
-        F.coalesce(F.sum("_best.profit"), F.lit(0.0)).alias("sum_per_store_profit"))
+    priced = P.with_best_step(df.where("_v > 0"), "_best", "list_price", "_p", "_d", "_v", "cost", "e")
+    return priced.groupBy(*KEYS).agg(F.coalesce(F.sum("_best.profit"), F.lit(0.0)).alias("sum_per_store_profit"))
 
 
 def channel_actions(rows: DataFrame, actions: DataFrame, costs: DataFrame, elasticity: DataFrame) -> DataFrame:
@@ -93,10 +95,10 @@ def channel_actions(rows: DataFrame, actions: DataFrame, costs: DataFrame, elast
         F.min("product_name").alias("product"), F.min("primera_jerarquia").alias("category"),
         F.min("segunda_jerarquia").alias("subcategory"))
     groups = channel_groups(rows, costs, elasticity)
+    priced = P.with_best_step(groups, "_sim", "list_price", "price", "disc", "velocity", "cost", "e")
     df = (
-        groups.join(signal, KEYS).join(step_variance(acts, KEYS), KEYS).join(top_reasons(acts, KEYS), KEYS, "left")
+        priced.join(signal, KEYS).join(step_variance(acts, KEYS), KEYS).join(top_reasons(acts, KEYS), KEYS, "left")
         .join(store_profit(rows, groups), KEYS, "left").join(names, ["brand", "codigo_padre"], "left")
-        .withColumn("_sim", P.best_step("list_price", "price", "disc", "velocity", "cost", "e"))
         .where(c("_sim").isNull() | (c("_sim.action") != "hold"))
     )
     fallback, costed = c("_sim").isNull(), X.true(c("cost") > 0)

@@ -1,7 +1,8 @@
 """Registry of queries: a DataFrame builder and, where SQL can say it, the SQL.
 
 Builders get a ``WeeklyRun`` over the tables of one directory. Columns are
-brought to fixed types on both sides and doubles are rounded to six places.
+brought to fixed types on both sides. Doubles are rounded to six places after a
+shift of 1e-9, since the engines break exact halves differently.
 """
 from __future__ import annotations
 
@@ -54,7 +55,7 @@ def typed(df: DataFrame, name: str) -> DataFrame:
 
     def cast(c: str, kind: str) -> Column:
         if kind == "double":
-            return (F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c)
+            return (F.round(F.col(c).cast("double") + F.lit(1e-9), 6) + F.lit(0.0)).alias(c)
         return F.col(c).cast(kind).alias(c)
 
     return df.select(*[cast(c, k) for c, k in kinds.items()])
@@ -65,7 +66,7 @@ def typed_sql(name: str) -> str:
     if kinds:
         def cast(c: str, kind: str) -> str:
             if kind == "double":
-                return f"round(CAST({c} AS DOUBLE), 6) + 0.0::DOUBLE AS {c}"
+                return f"round(CAST({c} AS DOUBLE) + 1e-9, 6) + 0.0::DOUBLE AS {c}"
             return f"CAST({c} AS {'VARCHAR' if kind == 'string' else kind.upper()}) AS {c}"
         text = f"SELECT {', '.join(cast(c, k) for c, k in kinds.items())} FROM ({text})"
     return SQL.assemble(text)
@@ -212,13 +213,16 @@ def _(r):
 
 
 @query("velocity_dense", f"""
-SELECT brand, sku, centro, week, units_sold, avg(units_sold) OVER (PARTITION BY brand, sku, centro ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS velocity_4w,
-       avg(units_sold) OVER (PARTITION BY brand, sku, centro ORDER BY week ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS velocity_8w
-FROM (SELECT brand, sku, centro, week, coalesce(units_sold, 0) AS units_sold
+SELECT brand, centro, week, count(*) AS n_series, CAST(sum(units_sold) AS BIGINT) AS units_sold, sum(velocity_4w) AS velocity_4w, sum(velocity_8w) AS velocity_8w FROM (
+SELECT *, avg(units_sold) OVER (PARTITION BY {SQL.S3} ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS velocity_4w,
+       avg(units_sold) OVER (PARTITION BY {SQL.S3} ORDER BY week ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS velocity_8w
+FROM (SELECT {S4}, coalesce(units_sold, 0) AS units_sold
       FROM (SELECT {SQL.S3}, CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM weekly GROUP BY {SQL.S3})
-      LEFT JOIN weekly USING (brand, sku, centro, week))""")
+      LEFT JOIN weekly USING ({S4}))) GROUP BY brand, centro, week""")
 def _(r):
-    return W.velocity_features(W.weekly_sales(r.t.transactions), dense=True).select(*W.WEEKLY, "units_sold", "velocity_4w", "velocity_8w")
+    dense = W.velocity_features(W.weekly_sales(r.t.transactions), dense=True)
+    return dense.groupBy("brand", "centro", "week").agg(
+        F.count(F.lit(1)).alias("n_series"), *[F.sum(c).alias(c) for c in ("units_sold", "velocity_4w", "velocity_8w")])
 
 
 @query("product_age", f"""
@@ -747,6 +751,13 @@ def _(r):
 _TRIO = ["brand", "codigo_padre", "centro", "week", "raw_cost", "rebate_amount", "unit_cost"]
 
 
+@query("pricing_rows", f"SELECT {P4}, e AS elasticity, d AS disc_rate, product_name, total_sizes_catalog, store_name, raw_cost, rebate_amount, unit_cost, cur AS current_step, now_p AS price_now, n_sell FROM pricing_rows")
+def _(r):
+    return r.rows_for(r.parent.select("brand", "week").distinct()).select(
+        *R.KEYS, "elasticity", "disc_rate", "product_name", "total_sizes_catalog", "store_name", "raw_cost", "rebate_amount", "unit_cost",
+        "current_step", "price_now", "n_sell")
+
+
 @query("cost_trio", f"SELECT {', '.join(_TRIO)} FROM pricing_rows")
 def _(r):
     return A.cost_trio(r.parent.select(*R.KEYS), r.t.costs, r.t.rebates).select(*_TRIO)
@@ -759,7 +770,7 @@ click_collect_ratio""".split(",")]
 
 
 def _all_rows(r):
-    return r.rows_for(r.parent.select("brand", "week").distinct())
+    return r.history_rows
 
 
 @query("price_increase_pass", f"SELECT {', '.join(_ACTION)} FROM acts WHERE action_type = 'increase'")
@@ -1335,7 +1346,7 @@ def _(r):
 @query("build_catalog", """
 SELECT brand, codigo_padre, product_name, vendor_brand, primera_jerarquia, segunda_jerarquia, ean11 FROM (
 SELECT *, row_number() OVER (PARTITION BY brand ORDER BY CASE WHEN primera_jerarquia = 'Footwear' THEN 0 ELSE 1 END, codigo_padre) AS k FROM (
-SELECT brand, codigo_padre, arg_min(segunda_jerarquia, material) || ' ' || regexp_extract(codigo_padre, '(\\d+)-', 1) AS product_name, arg_min(grupo_articulos_descripcion, material) AS vendor_brand,
+SELECT brand, codigo_padre, arg_min(segunda_jerarquia, material) || ' ' || regexp_extract(any_value(codigo_padre), '(\\d+)-', 1) AS product_name, arg_min(grupo_articulos_descripcion, material) AS vendor_brand,
        arg_min(primera_jerarquia, material) AS primera_jerarquia, arg_min(segunda_jerarquia, material) AS segunda_jerarquia, arg_min(ean11, material) AS ean11 FROM fx_products GROUP BY ALL)) WHERE k <= 200""")
 def _(r):
     return K.build_catalog(r.t.products)
@@ -1364,9 +1375,9 @@ def _(r):
 # --------------------------------------------------------------------- models
 
 @query("time_series_folds", """
-SELECT brand, fold, week, CASE WHEN at <= (fold + 1) * size THEN 'train' ELSE 'validate' END AS role FROM (
-SELECT w.*, f.fold, n // 5 AS size FROM (SELECT brand, week, row_number() OVER (PARTITION BY brand ORDER BY week) AS at, count(*) OVER (PARTITION BY brand) AS n
-FROM (SELECT DISTINCT brand, week FROM parent)) w CROSS JOIN (VALUES (0), (1), (2), (3)) f(fold)) WHERE at <= (fold + 2) * size""")
+SELECT brand, fold, week, CASE WHEN pos <= (fold + 1) * size THEN 'train' ELSE 'validate' END AS role FROM (
+SELECT w.*, f.fold, n // 5 AS size FROM (SELECT brand, week, row_number() OVER (PARTITION BY brand ORDER BY week) AS pos, count(*) OVER (PARTITION BY brand) AS n
+FROM (SELECT DISTINCT brand, week FROM parent)) w CROSS JOIN (VALUES (0), (1), (2), (3)) f(fold)) WHERE pos <= (fold + 2) * size""")
 def _(r):
     return ML.time_series_folds(r.parent)
 

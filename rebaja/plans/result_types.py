@@ -42,7 +42,7 @@ RESULT_TYPES: dict[str, str] = {
         "velocity_8w:double velocity_trend:double cumulative_units:bigint instore_velocity_4w:double"
     ),
     "velocity_dense": (
-        "brand:string sku:string centro:string week:date units_sold:bigint velocity_4w:double velocity_8w:double"
+        "brand:string centro:string week:date n_series:bigint units_sold:bigint velocity_4w:double velocity_8w:double"
     ),
     "product_age": (
         "brand:string sku:string centro:string week:date first_sale_date:timestamp product_age_weeks:double"
@@ -314,6 +314,11 @@ RESULT_TYPES: dict[str, str] = {
     "expected_velocity": (
         "brand:string codigo_padre:string centro:string week:date new_step:double down:double both_ways:double"
     ),
+    "pricing_rows": (
+        "brand:string codigo_padre:string centro:string week:date elasticity:double disc_rate:double "
+        "product_name:string total_sizes_catalog:bigint store_name:string raw_cost:bigint rebate_amount:bigint "
+        "unit_cost:bigint current_step:double price_now:bigint n_sell:bigint"
+    ),
     "cost_trio": (
         "brand:string codigo_padre:string centro:string week:date raw_cost:bigint rebate_amount:bigint unit_cost:bigint"
     ),

@@ -103,11 +103,14 @@ class WeeklyRun:
     def channel_actions(self) -> DataFrame:
         return materialise(CH.channel_actions(self.rows, self.actions, self.t.costs, self.elasticity), "channel_actions")
 
+    @cached_property
+    def history_rows(self) -> DataFrame:
+        return materialise(self.rows_for(self.parent.select("brand", "week").distinct()), "history_rows")
+
     @cached_property
     def history(self) -> DataFrame:
-        """Actions of all weeks old enough to have outcomes, as past runs would have left them."""
-        weeks = self.parent.select("brand", "week").distinct()
-        return materialise(A.weekly_actions(materialise(self.rows_for(weeks), "history_rows")), "history")
+        """Actions of every week, as past runs would have left them."""
+        return materialise(A.weekly_actions(self.history_rows), "history")
 
     @cached_property
     def outcomes(self) -> DataFrame:
