@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rebaja import constants as C
 
@@ -15,6 +15,16 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters must not be pushed through.
+
+    A filter on a plain derived column is moved below it with the expression
+    substituted, once per use; over several pricing steps the copies multiply.
+    One-element generators stop that: each row computes each column once.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 # ---------------------------------------------------------------- numbers
 
 def half_even(c: str | Column, digits: int = 0) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rebaja import constants as C
-from rebaja.functions.columns import col, half_even
+from rebaja.functions.columns import col, computed, half_even
 
 
 def price_ladder() -> Column:
@@ -130,10 +130,11 @@ def with_best_step(df: DataFrame, out: str, list_price: str, current_price: str,
         best["profit"].alias("profit"), best["revenue"].alias("revenue"), half_even(best["margin"], 1).alias("margin_pct"),
         F.transform(opts, lambda o: F.abs(o["shallow"])).alias("feasible"), action.alias("action"))
     return (
-        df.withColumns({raw: F.transform(steps, priced), f"{out}_held": snap_discount(disc),
-                        f"{out}_now": F.when(cur.isNull() | (cur == 0), 0).otherwise(snap_price(cur))})
-        .withColumn(opts, F.filter(F.transform(raw, option), allowed))
+        computed(computed(df, **{
+            raw: F.transform(steps, priced), f"{out}_held": snap_discount(disc),
+            f"{out}_now": F.when(cur.isNull() | (cur == 0), 0).otherwise(snap_price(cur))}
+        ), **{opts: F.filter(F.transform(raw, option), allowed)})
         .withColumn(f"{out}_best", F.array_max(opts))
-        .withColumn(out, F.when((lp > 0) & vel.isNotNull() & best.isNotNull(), result))
+        .transform(lambda d: computed(d, **{out: F.when((lp > 0) & vel.isNotNull() & best.isNotNull(), result)}))
         .drop(raw, opts, f"{out}_best", f"{out}_held", f"{out}_now")
     )

@@ -102,10 +102,10 @@ def channel_actions(rows: DataFrame, actions: DataFrame, costs: DataFrame, elast
         .where(c("_sim").isNull() | (c("_sim.action") != "hold"))
     )
     fallback, costed = c("_sim").isNull(), X.true(c("cost") > 0)
-    df = df.withColumns({"_fb_step": P.snap_discount("_step_mean"), "_now": P.snap_price("price")}).withColumns({
-        "_fb_price": P.snap_price(c("list_price") * (1 - c("_fb_step"))),
-        "_fb_vel": P.expected_velocity_bidir("velocity", "disc", "_fb_step", "e")})
-    still = (F.abs(c("_fb_price") - c("_now")) < C.MIN_PRICE_MOVE) & (c("_fb_step") == P.snap_discount("disc"))
+    df = X.computed(df, _fb_step=P.snap_discount("_step_mean"), _now=P.snap_price("price"), _held=P.snap_discount("disc"))
+    df = X.computed(df, _fb_price=P.snap_price(c("list_price") * (1 - c("_fb_step"))),
+                    _fb_vel=P.expected_velocity_bidir("velocity", "disc", "_fb_step", "e"))
+    still = (F.abs(c("_fb_price") - c("_now")) < C.MIN_PRICE_MOVE) & (c("_fb_step") == c("_held"))
     fb_action = F.when(c("_fb_step") > c("disc") + 1e-9, "decrease").when(c("_fb_step") < c("disc") - 1e-9, "increase")
     df = df.where(~fallback | (~still & fb_action.isNotNull()))
     df = df.withColumns({
@@ -124,7 +124,7 @@ def channel_actions(rows: DataFrame, actions: DataFrame, costs: DataFrame, elast
         "category", "subcategory", X.vendor_brand("codigo_padre", "brand").alias("vendor_brand"), "n_stores", "stores_in_channel",
         c("stock").isNotNull().alias("has_stock_data"), c("stock").cast("long").alias("channel_stock"),
         c("list_price").cast("long").alias("current_list_price"), c("_now").alias("current_price"),
-        X.format_pct(P.snap_discount("disc")).alias("current_discount"), X.half_even("velocity", 1).alias("current_velocity"),
+        X.format_pct("_held").alias("current_discount"), X.half_even("velocity", 1).alias("current_velocity"),
         c("new_price").alias("recommended_price"), X.format_pct("step").alias("recommended_discount"),
         X.half_even("exp_vel", 1).alias("expected_velocity"), rev_now.cast("long").alias("current_weekly_rev"),
         rev_exp.cast("long").alias("expected_weekly_rev"), (rev_exp - rev_now).cast("long").alias("rev_delta"),

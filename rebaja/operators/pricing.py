@@ -65,14 +65,14 @@ def pricing_rows(scored: DataFrame, products: DataFrame, stores: DataFrame, cost
         now.join(names, ["brand", "codigo_padre"], "left").join(reliable, ["brand", "codigo_padre"], "left")
         .join(shops, "centro", "left")
     )
-    return cost_trio(df, costs, rebates).withColumns({
+    ready = cost_trio(df, costs, rebates).withColumns({
         "disc_rate": F.coalesce("discount_rate", F.lit(0.0)), "total_sizes_catalog": F.coalesce("total_sizes_catalog", F.lit(1)),
         "store_name": F.coalesce("store_name", "centro"),
-    }).withColumns({
-        "n_sell": (F.col("size_curve_completeness") * F.col("total_sizes_catalog")).cast("long"),
-        "current_step": P.snap_discount("disc_rate"), "has_elast": P.usable("elasticity"),
-        "price_now": F.when(F.col("avg_precio_final").isNull(), 0).otherwise(P.snap_price("avg_precio_final")),
     })
+    return X.computed(
+        ready, n_sell=(F.col("size_curve_completeness") * F.col("total_sizes_catalog")).cast("long"),
+        current_step=P.snap_discount("disc_rate"), has_elast=P.usable("elasticity"),
+        price_now=F.when(F.col("avg_precio_final").isNull(), 0).otherwise(P.snap_price("avg_precio_final")))
 
 
 # ------------------------------------------------------------------ urgency
@@ -155,15 +155,15 @@ def _increase_columns(rows: DataFrame) -> DataFrame:
     c = F.col
     lp, vel = c("avg_precio_lista"), c("velocity_4w")
     below = F.array_max(F.filter(P.price_ladder(), lambda s: s < F.col("current_step")))
-    df = rows.withColumn("up_step", below).withColumns({
-        "_raised": P.snap_price(lp * (1 - c("up_step")), "up"), "_list_anchor": P.snap_price(lp)})
+    df = X.computed(X.computed(rows, up_step=below, _list_anchor=P.snap_price(lp)),
+                    _raised=P.snap_price(lp * (1 - c("up_step")), "up"))
     df = df.withColumn("is_premium", X.true(c("_raised") > lp)).withColumn(
         "up_price", F.when(c("is_premium") & ~X.true(vel >= 2.0), c("_list_anchor")).otherwise(c("_raised")))
     gate = (
         (c("disc_rate") > 0.05) & (c("current_step") > 0) & (lp > 0) & (vel >= 1.0) & (c("velocity_trend") >= 1.0)
         & ~X.true(c("lifecycle_stage_code").isin(4, 5)) & (F.coalesce("attrition_rate", F.lit(0.0)) < 0.3)
         & (c("product_age_weeks") < 35) & ~X.true(c("weeks_of_cover") > 15))
-    return df.withColumn("_up", X.true(gate & (c("up_price") > c("price_now") + C.MIN_PRICE_MOVE)))
+    return X.computed(df, _up=X.true(gate & (c("up_price") > c("price_now") + C.MIN_PRICE_MOVE)))
 
 
 def _impact(rows: DataFrame) -> DataFrame:
@@ -172,11 +172,10 @@ def _impact(rows: DataFrame) -> DataFrame:
     vel, now, price, exp, cost = c("velocity_4w"), c("price_now"), c("_price"), c("_exp_vel"), c("unit_cost")
     costed = X.true(cost > 0)
     net, net_now = price / C.VAT, now / C.VAT
-    return rows.withColumns({
-        "_rev_now": vel * now, "_rev_exp": exp * price,
-        "_margin_pct": F.when(costed, F.when(net > 0, X.half_even((net - cost) / net * 100, 1)).otherwise(0.0)),
-        "_margin_delta": F.when(costed, ((net - cost) * exp - (net_now - cost) * vel).cast("long")),
-    })
+    return X.computed(
+        rows, _rev_now=vel * now, _rev_exp=exp * price,
+        _margin_pct=F.when(costed, F.when(net > 0, X.half_even((net - cost) / net * 100, 1)).otherwise(0.0)),
+        _margin_delta=F.when(costed, ((net - cost) * exp - (net_now - cost) * vel).cast("long")))
 
 
 def _action_columns(rows: DataFrame, recommended: Column, urgency: Column, reasons: Column, tier: Column,
@@ -207,8 +206,8 @@ def price_increase_pass(rows: DataFrame) -> DataFrame:
     df = _increase_columns(rows).where("_up")
     vel, now, e = c("velocity_4w"), c("price_now"), c("elasticity")
     by_e = vel * (1 + (c("up_price") - now) / F.greatest(now, F.lit(1)) * e)
-    df = _impact(df.withColumns({
-        "_price": c("up_price"), "_exp_vel": F.greatest(F.when(c("has_elast"), by_e).otherwise(vel * 0.75), F.lit(0.3))}))
+    df = _impact(X.computed(
+        df, _price=c("up_price"), _exp_vel=F.greatest(F.when(c("has_elast"), by_e).otherwise(vel * 0.75), F.lit(0.3))))
     pct = fixed("_margin_pct", 0)
     reasons = X.join_reasons([
         F.concat(F.lit("Selling "), fixed(vel, 1), F.lit(" u/sem at "), X.pct_text("current_step"), F.lit(" off -- test higher price")),
@@ -238,29 +237,27 @@ def markdown_pass(rows: DataFrame) -> DataFrame:
     df = _increase_columns(rows).where(~c("_up") & (c("markdown_probability") >= 0.50) & (lp > 0))
     suggested = P.snap_discount("raw_depth")
     deeper = F.array_min(F.filter(P.price_ladder(), lambda s: s > F.col("current_step")))
-    nudged = F.when(suggested > c("current_step"), suggested).when(c("markdown_probability") > 0.8, deeper)
-    df = df.withColumn("step_0", nudged).where("step_0 is not null").withColumns({
-        "price_0": P.snap_price(lp * (1 - c("step_0"))),
-        "_options": F.transform(P.price_ladder(), lambda s: F.struct(
-            s.alias("step"), P.snap_price(F.col("avg_precio_lista") * (1 - s)).alias("price"))),
-    }).where(F.abs(c("price_0") - now) >= C.MIN_PRICE_MOVE)
-
-    df = df.withColumn("_below", costed & (c("price_0") / C.VAT < cost)).withColumn("_pick", F.when(
-        c("_below"), F.get(F.filter("_options", lambda o: o["price"] / C.VAT >= F.col("unit_cost")), F.lit(0))))
-    df = df.where(~c("_below") | c("_pick").isNotNull()).withColumns({
-        "step_1": F.coalesce("_pick.step", "step_0"), "price_1": F.coalesce("_pick.price", "price_0")})
+    df = X.computed(df, step_0=F.when(suggested > c("current_step"), suggested).when(c("markdown_probability") > 0.8, deeper))
+    options = F.transform(P.price_ladder(), lambda s: F.struct(
+        s.alias("step"), P.snap_price(F.col("avg_precio_lista") * (1 - s)).alias("price")))
+    df = X.computed(df.where("step_0 is not null"), _options=options, price_0=P.snap_price(lp * (1 - c("step_0"))))
+    df = df.where(F.abs(c("price_0") - now) >= C.MIN_PRICE_MOVE)
+
+    above_cost = F.get(F.filter("_options", lambda o: o["price"] / C.VAT >= F.col("unit_cost")), F.lit(0))
+    df = df.withColumn("_below", costed & (c("price_0") / C.VAT < cost))
+    df = X.computed(df, _pick=F.when(c("_below"), above_cost)).where(~c("_below") | c("_pick").isNotNull())
+    df = df.withColumns({"step_1": F.coalesce("_pick.step", "step_0"), "price_1": F.coalesce("_pick.price", "price_0")}).drop("_pick")
     df = df.where(F.abs(c("price_1") - now) >= C.MIN_PRICE_MOVE)
 
-    net = c("price_1") / C.VAT
-    floor = float(C.MIN_MARGIN_PCT)
-    df = df.withColumn("_thin", costed & X.true(
-        F.when(net > 0, X.half_even((net - cost) / net * 100, 1)).otherwise(0.0) < floor)).withColumn("_pick", F.when(
-            c("_thin"), F.get(F.filter("_options", lambda o: P.margin_pct(o["price"], "unit_cost") >= floor), F.lit(0))))
+    net, floor = c("price_1") / C.VAT, float(C.MIN_MARGIN_PCT)
+    above_floor = F.get(F.filter("_options", lambda o: P.margin_pct(o["price"], "unit_cost") >= floor), F.lit(0))
+    thin = costed & X.true(F.when(net > 0, X.half_even((net - cost) / net * 100, 1)).otherwise(0.0) < floor)
+    df = X.computed(X.computed(df, _thin=thin), _pick=F.when(c("_thin"), above_floor))
     df = df.where(~c("_thin") | (c("_pick").isNotNull() & (c("_pick.step") > c("current_step")))).withColumns({
         "step_2": F.coalesce("_pick.step", "step_1"), "_price": F.coalesce("_pick.price", "price_1")})
     df = df.where(F.abs(c("_price") - now) >= C.MIN_PRICE_MOVE)
 
-    df = _impact(df.withColumn("_exp_vel", P.expected_velocity("velocity_4w", "disc_rate", "step_2", "elasticity")))
+    df = _impact(X.computed(df, _exp_vel=P.expected_velocity("velocity_4w", "disc_rate", "step_2", "elasticity")))
     reasons = X.join_reasons([
         urgency_reasons(),
         F.when(c("_below"), F.concat(F.lit("Discount capped to protect margin (cost="), F.format_number("unit_cost", 0), F.lit(")"))),
