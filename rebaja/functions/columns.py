@@ -98,7 +98,7 @@ def is_credit_note() -> Column:
 
 
 def is_extreme_discount() -> Column:
-    return true((F.col("precio_lista") > 0) & (F.col("descuento") / F.col("precio_lista") > 0.50))
+    return true(ratio("descuento", "precio_lista") > 0.50)
 
 
 def is_markdown_list() -> Column:

@@ -116,7 +116,7 @@ def with_best_step(df: DataFrame, out: str, list_price: str, current_price: str,
         # rounded so that equal profits tie; the shallower step wins a tie
         return F.struct(F.round(profit, 6).alias("rank"), (-o["step"]).alias("shallow"), o["price"].alias("price"), v.alias("velocity"),
                         profit.alias("profit"), (v * o["price"]).alias("revenue"),
-                        F.when(costed, (net - c) / net * 100).alias("margin"))
+                        F.when(costed & (net > 0), (net - c) / net * 100).alias("margin"))
 
     def allowed(o: Column) -> Column:
         return (o["price"] > 0) & (~costed | ((o["price"] / C.VAT >= c) & (o["margin"] >= min_margin)))

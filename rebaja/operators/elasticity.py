@@ -119,7 +119,7 @@ def grouped_ols(panel: DataFrame, groups: Sequence[str], controls: Sequence[Colu
     return (
         per_store.groupBy(*groups).agg(
             n.alias("n_observations"), (F.sum("_price") / n).alias("avg_price"), (F.sum("_units") / n).alias("avg_units_week"),
-            F.sqrt(F.greatest(F.lit(0.0), (F.sum("_price2") - F.sum("_price") * F.sum("_price") / n) / (n - 1))).alias("_std"),
+            F.sqrt(F.greatest(F.lit(0.0), (F.sum("_price2") - F.sum("_price") * F.sum("_price") / n) / F.nullif(n - 1, F.lit(0)))).alias("_std"),
             (F.sum("_p0_0") - F.sum("_s0") * F.sum("_s0") / n).alias("_sst"), F.array(*within).alias("_moments"))
         .withColumn("price_cv", F.col("_std") / F.col("avg_price"))
         .withColumn("_fit", _solve(len(names))("_moments"))

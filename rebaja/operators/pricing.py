@@ -400,8 +400,8 @@ def manual_price_impact(actions: DataFrame, prices: DataFrame, elasticity: DataF
         "current_list_price", "current_price", "snapped_price", "current_velocity", "unit_cost"))
     ok, costed = lp > 0, X.true(cost > 0)
     df = df.withColumns({
-        "_d0": F.when(cur > 0, 1 - cur / lp).otherwise(0.0),
-        "_d1": F.greatest(F.lit(0.0), F.least(F.when(snap > 0, 1 - snap / lp).otherwise(0.0), F.lit(0.5)))})
+        "_d0": F.when(ok & (cur > 0), 1 - cur / lp).otherwise(0.0),
+        "_d1": F.greatest(F.lit(0.0), F.least(F.when(ok & (snap > 0), 1 - snap / lp).otherwise(0.0), F.lit(0.5)))})
     df = df.withColumn("_v", F.when(ok, P.expected_velocity("current_velocity", "_d0", "_d1", "elasticity")))
     net = snap / C.VAT
     df = df.withColumns({

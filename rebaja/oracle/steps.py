@@ -201,7 +201,7 @@ FROM (SELECT brand, codigo_padre, count(*) AS n_observations, stddev_samp(avg_pr
       GROUP BY brand, codigo_padre
       HAVING count(*) >= 10 AND stddev_samp(avg_price) / avg(avg_price) >= 0.05::DOUBLE AND sum(dx * dx) > 1e-9)""",
     "cat_elasticity": """
-SELECT brand, primera_jerarquia, segunda_jerarquia, round(avg(elasticity), 6) AS elasticity FROM elasticity GROUP BY ALL""",
+SELECT brand, primera_jerarquia, segunda_jerarquia, avg(elasticity) AS elasticity FROM elasticity GROUP BY ALL""",
     "reliable": "SELECT brand, codigo_padre, elasticity FROM elasticity WHERE confidence IN ('high', 'medium')",
     "features": f"""
 SELECT t.*, first_sale_date, greatest(floor(date_diff('second', first_sale_date, CAST(t.week AS TIMESTAMP)) / 86400.0::DOUBLE) / 7, 0) AS product_age_weeks,

@@ -42,7 +42,7 @@ class WeeklyRun:
         if not self.fast:
             return materialise(E.elasticity_by_category(self.panel), "category_elasticity")
         return self.elasticity.groupBy("brand", "primera_jerarquia", "segunda_jerarquia").agg(
-            F.round(F.avg("elasticity"), 6).alias("elasticity"))
+            F.avg("elasticity").alias("elasticity"))
 
     def child_inputs(self) -> ChildInputs:
         t = self.t

@@ -67,9 +67,9 @@ def read_decisions_json(spark: SparkSession, path: str) -> DataFrame:
     """Decision documents ``{week, brand, decisions: {key: record}}`` as one row per key."""
     docs = spark.read.schema(schemas.DECISIONS_JSON).option("multiLine", True).json(path)
     return (
-        docs.select("brand", F.to_date("week").alias("week"), F.explode("decisions").alias("key", "r"))
+        docs.select("brand", F.try_to_date("week").alias("week"), F.explode("decisions").alias("key", "r"))
         .where("r is not null and r.status <> ''")
-        .select("brand", "week", "key", "r.status", "r.manual_price", F.to_timestamp("r.timestamp").alias("ts"),
+        .select("brand", "week", "key", "r.status", "r.manual_price", F.try_to_timestamp("r.timestamp").alias("ts"),
                 F.col("r.user").alias("event_user"), "r.chain_scope", "r.chain_key",
                 F.col("r.estimated_impact.margin_pct").alias("manual_margin_pct"),
                 F.col("r.estimated_impact.velocity").alias("manual_velocity"))
