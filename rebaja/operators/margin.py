@@ -13,15 +13,16 @@ def _ladder() -> Column:
     return F.array(*[F.lit(s) for s in C.MARGIN_LADDER])
 
 
-def nearest_step(disc: str | Column) -> Column:
-    """Closest margin-ladder step; ties go to the lower step."""
-    d = X.col(disc)
-    return F.array_min(F.transform(_ladder(), lambda s: F.struct(F.abs(s - d).alias("d"), s.alias("s"))))["s"]
+def nearest_index(disc: str | Column) -> Column:
+    """Place of the closest margin-ladder step; ties go to the lower step."""
+    d, steps, chain = X.col(disc), C.MARGIN_LADDER, F
+    for i, (lo, hi) in enumerate(zip(steps, steps[1:])):
+        chain = chain.when(F.abs(F.lit(lo) - d) <= F.abs(F.lit(hi) - d), i)
+    return chain.otherwise(len(steps) - 1)
 
 
-def current_step(disc: str | Column) -> Column:
-    d = X.col(disc)
-    return F.when(d < 0.025, 0.0).otherwise(nearest_step(d))
+def step_at(index: Column) -> Column:
+    return F.get(_ladder(), index)
 
 
 def empirical_lift(features: DataFrame, min_obs: int = 50) -> DataFrame:
@@ -33,7 +34,7 @@ def empirical_lift(features: DataFrame, min_obs: int = 50) -> DataFrame:
     healthy lifecycle stages by the caller.
     """
     rows = features.where("discount_rate is not null and velocity_4w is not null").select(
-        "brand", nearest_step("discount_rate").alias("step"), "velocity_4w")
+        "brand", step_at(nearest_index("discount_rate")).alias("step"), "velocity_4w")
     medians = lookups.exact_quantiles(rows, ["brand", "step"], "velocity_4w", {"median": 0.5})
     brand = Window.partitionBy("brand")
     stats = medians.withColumns({
@@ -57,40 +58,42 @@ def margin_targets(features: DataFrame, costs: DataFrame, elasticity: DataFrame,
                    skus: DataFrame | None = None) -> DataFrame:
     """Ladder step with the highest weekly gross profit, per row.
 
-    All nine steps are held in one array per row, so the rows are not multiplied.
-    ``elasticity``: brand, codigo_padre, elasticity, confidence. ``lift``: output
-    of ``empirical_lift``, nine rows per brand. ``skus`` lists the codes to price
-    (brand, ``_code``), by default those of ``features``.
+    The nine profits are plain columns of the row, so rows are neither multiplied
+    nor shuffled for the choice. ``elasticity``: brand, codigo_padre, elasticity,
+    confidence. ``lift``: output of ``empirical_lift``, nine rows per brand.
+    ``skus`` lists the codes to price (brand, ``_code``), by default those of
+    ``features``.
     """
     coded = features.withColumn("_code", F.coalesce("codigo_padre", "sku"))
     found = lookups.prefix_lookup(coded if skus is None else skus, costs.where("cost > 0"), "_code", "sku", "cost")
     reliable = elasticity.where("confidence in ('high', 'medium')").select(
         "brand", F.col("codigo_padre").alias("_code"), F.col("elasticity").alias("_e"))
-    table = lift.groupBy("brand").agg(F.map_from_entries(F.collect_list(F.struct("step", "lift"))).alias("_table"))
+    table = lift.groupBy("brand").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("step", "lift"))), lambda x: x["lift"]).alias("_lifts"))
+    price, cost, vel, e, d, lifts = (F.col(c) for c in ("avg_precio_lista", "cost", "velocity_4w", "_e", "_d", "_lifts"))
     df = (
         coded.join(found, ["brand", "_code"], "left").join(reliable, ["brand", "_code"], "left")
-        .join(F.broadcast(table), "brand", "left")
-        .withColumn("_d", F.coalesce("discount_rate", F.lit(0.0))).withColumn("_step", current_step("_d"))
+        .join(F.broadcast(table), "brand", "left").withColumn("_d", F.coalesce("discount_rate", F.lit(0.0)))
     )
-    price, cost, vel, e, d = (F.col(c) for c in ("avg_precio_lista", "cost", "velocity_4w", "_e", "_d"))
-    valid = X.true((cost > 0) & (price > 0) & (vel > 0))
+    df = X.computed(df, _ix=F.when(d < 0.025, 0).otherwise(nearest_index("_d")), _valid=X.true((cost > 0) & (price > 0) & (vel > 0)))
 
-    def option(step: Column) -> Column:
-        unit = price * (1 - step) / C.VAT - cost
-        drop = (step - d) / F.greatest(1 - d, F.lit(0.01))
+    def profit(i: int) -> Column:
+        step = C.MARGIN_LADDER[i]
+        unit = price * (1 - F.lit(step)) / C.VAT - cost
+        drop = (F.lit(step) - d) / F.greatest(1 - d, F.lit(0.01))
         by_elasticity = F.greatest(vel * (1 - drop * e), F.lit(0.1))
-        by_lift = F.greatest(vel * F.col("_table")[step] / F.greatest(F.col("_table")[F.col("_step")], F.lit(0.1)), F.lit(0.1))
-        profit = unit * F.when(e < -0.3, by_elasticity).otherwise(by_lift)
-        banned = (unit <= 0) & (step > 0)
-        # rounded so that equal profits tie, and the shallower step wins the tie
-        return F.struct(F.when(~banned, F.round(profit, 6)).alias("p"), (-step).alias("s"))
-
-    best = F.array_max(F.filter(F.transform(_ladder(), option), lambda o: o["p"].isNotNull()))
-    return (
-        df.withColumn("_best", F.when(valid, best))
-        .withColumns({
-            "optimal_disc_margin": F.abs(F.col("_best.s")),
-            "should_reprice": F.when(valid, (F.abs(F.col("_best.s")) != F.col("_step")).cast("double")),
-            "optimal_profit": F.col("_best.p"),
-        }).drop("_code", "_e", "_table", "_d", "_step", "_best", "cost")
-    )
+        by_lift = F.greatest(vel * F.get(lifts, F.lit(i)) / F.greatest(F.get(lifts, F.col("_ix")), F.lit(0.1)), F.lit(0.1))
+        # rounded so that equal profits tie; unprofitable markdowns are out
+        value = F.round(unit * F.when(e < -0.3, by_elasticity).otherwise(by_lift), 6)
+        return value if step == 0 else F.when(unit > 0, value)
+
+    names = [f"_p{i}" for i in range(len(C.MARGIN_LADDER))]
+    df = X.computed(df, **{n: profit(i) for i, n in enumerate(names)}).withColumn("_best", F.greatest(*names))
+    best = F
+    for n, step in zip(names, C.MARGIN_LADDER):  # the shallower step wins a tie
+        best = best.when(F.col(n) == F.col("_best"), step)
+    df = df.withColumn("optimal_disc_margin", F.when(F.col("_valid"), best))
+    return df.withColumns({
+        "should_reprice": F.when(F.col("_valid"), (F.col("optimal_disc_margin") != step_at(F.col("_ix"))).cast("double")),
+        "optimal_profit": F.when(F.col("_valid"), F.col("_best")),
+    }).drop("_code", "_e", "_lifts", "_d", "_ix", "_valid", "_best", "cost", *names)

@@ -74,7 +74,7 @@ def aggregate_to_parent(child: DataFrame, products: DataFrame, weighted: DataFra
         *[F.avg(c).alias(c) for c in of(MEANS)],
         *[_first(c).alias(c) for c in of(FIRST)],
         F.coalesce(F.sum("future_velocity_2w"), F.lit(0.0)).alias("future_velocity_2w"),
-        F.count_if(sold).alias("_active"), F.countDistinct("sku").alias("_sizes"),
+        F.count_if(sold).alias("_active"), F.count(F.lit(1)).alias("_sizes"),  # a child has one row per key
     ]
     if "optimal_profit" in have:
         aggs.append(F.coalesce(F.sum("optimal_profit"), F.lit(0.0)).alias("optimal_profit"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rebaja import schemas
 from rebaja.functions.columns import week_start
+from rebaja.session import materialise
 
 _PREFIXES = ["NI", "AD", "PM", "CAH", "BM", "ZZ"]
 _SIZES = ["6,5", "7", "7,5", "8", "8,5", "9", "9,5", "11"]
@@ -28,10 +29,14 @@ def _store(region: Column) -> Column:
 
 
 class RetailTables:
-    """Lazy entity views over one directory of Parquet tables."""
+    """Entity views over one directory of Parquet tables.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    The POS lines, from which most entities derive, are extracted once into a
+    table (``extract=False`` leaves them a view that every reader joins anew).
+    """
+
+    def __init__(self, spark: SparkSession, path: str, extract: bool = True):
+        self.spark, self.path, self.extract = spark, path.rstrip("/"), extract
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -70,6 +75,9 @@ class RetailTables:
 
     @cached_property
     def lines(self) -> DataFrame:
+        return materialise(self.line_view(), "lines") if self.extract else self.line_view()
+
+    def line_view(self) -> DataFrame:
         orders = self.table("orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
         supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
         nation = self.table("nation").select("n_nationkey", "n_regionkey")
