@@ -6,6 +6,7 @@ shift of 1e-9, since the engines break exact halves differently.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,7 +20,9 @@ from rebaja.oracle import actions as _actions  # noqa: F401  (adds its steps)
 from rebaja.oracle import steps as SQL
 from rebaja.plans.result_types import RESULT_TYPES
 from rebaja.plans.weekly_run import WeeklyRun
+from rebaja.session import shared_dir
 from rebaja.sources.retail import RetailTables
+from rebaja.streaming import weekly as SW
 
 BUILDERS: dict[str, Callable[[WeeklyRun], DataFrame]] = {}
 TEXTS: dict[str, str] = {}
@@ -1372,6 +1375,35 @@ def _(r):
     return matched.select("brand", "codigo_padre", "competitor", "comp_price", "match_method", "match_score")
 
 
+# ------------------------------------------------------------------ streaming
+
+def _streamed(name: str, source: DataFrame, fn, keys: list[str]) -> DataFrame:
+    """Write the source as files, stream them to the end, and return the result table."""
+    spark = source.sparkSession
+    folder = f"{shared_dir(spark)}/rebaja/stream-{name}-{uuid.uuid4().hex[:8]}"
+    source.write.parquet(f"{folder}/in")
+    stream = fn(SW.file_stream(spark, f"{folder}/in", source.schema, files=64))
+    return SW.run_available(stream, f"{folder}/out", f"{folder}/checkpoint", "update", keys)
+
+
+@query("stream_weekly_sales", f"SELECT {S4}, units_sold, gross_revenue, click_collect_units FROM weekly")
+def _(r):
+    lines = r.t.transactions.select("brand", "sku", "centro", "fecha", "cantidad", "precio_final", "tipo_entrega")
+    return _streamed("sales", lines, lambda s: SW.stream_weekly_sales(s, "4000 days"), ["brand", "sku", "centro", "week"])
+
+
+@query("stream_traffic_weekly", "SELECT * FROM traffic_week")
+def _(r):
+    return _streamed("traffic", r.t.traffic, lambda s: SW.stream_traffic_weekly(s, "4000 days"), ["centro", "week"])
+
+
+@query("stream_audit_counts", f"""
+SELECT brand, action, CAST(date_trunc('week', timestamp) AS DATE) AS week, count(*) AS n FROM (SELECT DISTINCT * FROM ({_AUDIT_SQL})) GROUP BY ALL""")
+def _(r):
+    log = _audit(r)
+    return _streamed("audit", log.unionByName(log), lambda s: SW.stream_audit_counts(s, "4000 days"), ["brand", "action", "week"])
+
+
 # --------------------------------------------------------------------- models
 
 @query("time_series_folds", """

@@ -599,4 +599,12 @@ RESULT_TYPES: dict[str, str] = {
         "markdown_probability:double raw_depth:double"
     ),
     "feature_importance": "feature:string importance:double",
+    "stream_weekly_sales": (
+        "brand:string sku:string centro:string week:date units_sold:bigint gross_revenue:double "
+        "click_collect_units:bigint"
+    ),
+    "stream_traffic_weekly": (
+        "centro:string week:date weekly_entries:bigint weekly_exits:bigint avg_dwell_time:double"
+    ),
+    "stream_audit_counts": "brand:string action:string week:date n:bigint",
 }
