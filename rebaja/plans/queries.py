@@ -643,7 +643,7 @@ def _(r):
     return S.latest_costs(costs, Q.sku_parent(r.t.products), F.to_date(F.lit("2001-07-30")), 90)
 
 
-_LISTS = ["Tienda", "Liquidación Bold", "Outlet la fabrica", "Bamers Eventos", "Bamers Virtual", "Promo Liq. final", "  "]
+_LISTS = ["Tienda", "Liquidación Verano", "Outlet Centro", "Tienda Eventos", "Tienda Virtual", "Promo Liq. final", "  "]
 
 
 def _list_frames(r):
@@ -658,8 +658,8 @@ def _list_frames(r):
 
 
 _LIST_SQL = """
-SELECT DISTINCT brand, folio, centro, CASE l_orderkey % 7 WHEN 0 THEN 'Tienda' WHEN 1 THEN 'Liquidación Bold' WHEN 2 THEN 'Outlet la fabrica' WHEN 3 THEN 'Bamers Eventos'
-       WHEN 4 THEN 'Bamers Virtual' WHEN 5 THEN 'Promo Liq. final' ELSE '  ' END AS list_name,
+SELECT DISTINCT brand, folio, centro, CASE l_orderkey % 7 WHEN 0 THEN 'Tienda' WHEN 1 THEN 'Liquidación Verano' WHEN 2 THEN 'Outlet Centro' WHEN 3 THEN 'Tienda Eventos'
+       WHEN 4 THEN 'Tienda Virtual' WHEN 5 THEN 'Promo Liq. final' ELSE '  ' END AS list_name,
        CASE l_orderkey % 7 WHEN 0 THEN 'retail' WHEN 1 THEN 'liquidacion' WHEN 2 THEN 'outlet' WHEN 3 THEN 'eventos' WHEN 4 THEN 'online' WHEN 5 THEN 'liquidacion'
        ELSE 'unknown' END AS list_category FROM fx_line"""
 

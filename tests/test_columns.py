@@ -52,8 +52,8 @@ def test_velocity_both_ways(value, cur, new, e, expected):
 
 def test_price_lists(spark):
     each(spark, X.classify_price_list, [
-        ("Hoka tiendas", "retail"), ("Liquidación Bold", "liquidacion"), ("Promo Liq. Final", "liquidacion"), ("LIQ verano", "liquidacion"),
-        ("Outlet la fabrica", "outlet"), ("Bamers Eventos", "eventos"), ("Bamers Virtual", "online"), ("Marketplace", "online"),
+        ("Norte tiendas", "retail"), ("Liquidación Verano", "liquidacion"), ("Promo Liq. Final", "liquidacion"), ("LIQ verano", "liquidacion"),
+        ("Outlet Centro", "outlet"), ("Tienda Eventos", "eventos"), ("Tienda Virtual", "online"), ("Marketplace", "online"),
         ("Cliq shop", "retail"), ("", "unknown"), ("  ", "unknown"), (None, "unknown")])
 
 
