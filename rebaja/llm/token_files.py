@@ -1,6 +1,7 @@
 """Token ids of documents in ORC files: run-length coded integers, row indexes and Bloom filters on the document id."""
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 
@@ -10,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rebaja.llm.common import slices, texts
-from rebaja.llm.wordcache import PartCache, batch_encoder
+from rebaja.llm.wordcache import Library, PartCache
 from rebaja.session import shared_dir
 
 END_ID = 2
@@ -35,10 +36,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     by the hash and by the place of the row in its input.
     """
     def encode(batches):
-        cache, part, before = PartCache(batch_encoder(tokenizer), spaced=True), TaskContext.get().partitionId(), 0
+        gc.disable()  # many small objects, no cycles
+        cache, part, before = PartCache(Library(tokenizer, spaced=True), spaced=True), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
         for batch in slices(batches):
-            ids = [x + end for x in cache(batch.column(1).to_pylist())]
+            ids = [cache(x) + end for x in batch.column(1).to_pylist()]
             sizes = np.array([len(x) // 2 for x in ids], np.int64)
             ends = np.cumsum(sizes)
             flat = np.frombuffer(b"".join(ids), "<u2").astype(np.int32)

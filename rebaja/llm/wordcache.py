@@ -2,74 +2,91 @@
 
 No match of the pre-tokenisers' patterns goes from a non-space to a space, so a
 text can be cut before every space that follows a non-space, and each part be
-encoded by itself. Most parts repeat; a part goes through the tokenizer once
-while it stays in the cache.
+encoded by itself. Most parts repeat; a part is encoded once while it stays in
+the cache.
 """
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+import struct
+from collections.abc import Callable
 
 import numpy as np
 
 CUT = re.compile(r"(?<=\S)(?= )")
+# Parts of these signs split the same way under either pattern: runs of letters, runs of stops, line ends.
+PLAIN = re.compile("[{0}](?:[{0}]|\n(?=[{0}]))*".format("A-Za-zÀ-ÖØ-öø-įı-ɏ.,")).fullmatch
+WORDS = re.compile("[^.,\n]+|[.,]+").findall
+PIECES = re.compile(" ?[^ .,\n]+| ?[.,]+|\n").findall
 
 
-def tokenizer(path: str):
-    """A tokenizer file of the tokenizers library; strings of special tokens in a text are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def _signs() -> dict[int, str]:
+    """The printable sign of each byte in byte-level vocabularies: itself where printable, else the next free one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    free = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(free)}
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
 
+class Library:
+    """A vocabulary of the tokenizers library. Plain words go straight to its merges, all else through its whole pipeline."""
 
-def batch_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to ids as little-endian unsigned 16-bit integers; the vocabulary must fit."""
-    t = tokenizer(path)
-    if t.get_vocab_size() > 1 << 16:
-        raise ValueError("ids of this vocabulary need more than 16 bits")
+    def __init__(self, path: str, spaced: bool, limit: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def encode(parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
-    return encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary need more than 16 bits")
+        self.merges, self.signs = self.tokenizer.model.tokenize, _signs()
+        self.spaced, self.limit, self.known = spaced, limit, {}
+        self.split = PIECES if spaced else WORDS
+
+    def _piece(self, piece: str) -> bytes:
+        data = piece.encode().decode("latin-1").translate(self.signs)
+        ids = [t.id for t in self.merges(data)]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def __call__(self, part: str) -> bytes:
+        if not PLAIN(part[1:] if self.spaced and part[:1] == " " else part):
+            return np.array(self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, "<u2").tobytes()
+        pieces = self.split(part if self.spaced else part.lower())
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        if len(self.known) > self.limit:
+            self.known.clear()
+        for piece in pieces:
+            if piece not in self.known:
+                self.known[piece] = self._piece(piece)
+        return b"".join([self.known[p] for p in pieces])
+
+
+class _Parts(dict):
+    """Ids of parts, made when first asked for. A part that is empty or ends in a space cannot stand alone: None."""
+
+    def __init__(self, encode: Callable[[str], bytes], lead: str, alone: bool):
+        self.encode, self.lead, self.alone = encode, lead, alone
+
+    def __missing__(self, part: str) -> bytes | None:
+        ids = self[part] = self.encode(self.lead + part) if self.alone or (part and not part[-1].isspace()) else None
+        return ids
 
 
 class PartCache:
-    """``encode`` for many texts. The cache holds at most about ``limit`` parts: beyond that only those of the latest texts stay."""
+    """Texts to ids as little-endian unsigned 16-bit integers, with ``encode`` for a part. Past ``limit`` parts the cache starts anew."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, limit: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], spaced: bool, limit: int = 500_000):
         """``spaced``: the space before a part belongs to it (byte-level patterns); else spaces are dropped."""
-        self.raw, self.spaced, self.limit = encode, spaced, limit
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-
-    def _fill(self, cache: dict, parts: Iterable[str], lead: str) -> dict:
-        now = set(parts)
-        if len(cache) + len(now) > self.limit:
-            cache = {p: cache[p] for p in now if p in cache}
-        new = [p for p in now if p not in cache]
-        if new:
-            # a part that is empty or ends in a space cannot stand alone: its text is cut with more care
-            alone = [p for p in new if not self.spaced or (p and not p[-1].isspace())]
-            cache.update(dict.fromkeys(new))
-            cache.update(zip(alone, self.raw([lead + p for p in alone])))
-        return cache
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        if not self.spaced:
-            self.later = self._fill(self.later, (p for parts in split for p in parts), "")
-            get = self.later.__getitem__
-            return [b"".join(map(get, parts)) for parts in split]
-        self.first = self._fill(self.first, (parts[0] for parts in split), "")
-        self.later = self._fill(self.later, (p for parts in split for p in parts[1:]), " ")
-        get, out = self.later.__getitem__, []
-        for text, parts in zip(texts, split):
-            try:
-                out.append(b"".join([self.first[parts[0]], *map(get, parts[1:])]))
-            except TypeError:
-                out.append(b"".join(self.raw(CUT.split(text))) if text else b"")
-        return out
+        self.encode, self.spaced, self.limit = encode, spaced, limit
+        self.first, self.later = _Parts(encode, "", not spaced), _Parts(encode, " " if spaced else "", not spaced)
+
+    def __call__(self, text: str) -> bytes:
+        for cache in (self.first, self.later):
+            if len(cache) > self.limit:
+                cache.clear()
+        head, *rest = text.split(" ")
+        try:
+            return b"".join([self.first[head], *map(self.later.__getitem__, rest)])
+        except TypeError:
+            return b"".join(map(self.encode, CUT.split(text))) if text else b""
