@@ -61,13 +61,25 @@ class Hasher:
         known = self.known
         for word in set(words) - known.keys():
             known[word] = self.digest(word)
-        h = np.array([known[w] for w in words], U64)
+        h = np.fromiter(map(known.__getitem__, words), U64, len(words))
         out = np.zeros(max(0, len(h) - WORDS + 1), U64)
         for k in range(WORDS):
             out = (out ^ h[k:k + len(out)]) * U64(0x9E3779B97F4A7C15)
             out ^= out >> U64(29)
         return out
 
+    def of_texts(self, texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of many texts in a row, and where those of each end."""
+        words = [words_of(t) for t in texts_]
+        sizes = np.array([len(w) for w in words])
+        every = self.shingles([w for ws in words for w in ws])
+        first = np.cumsum(sizes) - sizes
+        inside = np.zeros(len(every) + 1, np.int64)  # +1 where a text's shingles begin, -1 where they end
+        n = np.maximum(sizes - WORDS + 1, 0)
+        np.add.at(inside, first[n > 0], 1)
+        np.add.at(inside, (first + n)[n > 0], -1)
+        return every[np.cumsum(inside[:-1]) > 0], np.cumsum(n)
+
 
 class Templates:
     """Chunks of the templates by size class, and the bands of their MinHash."""
@@ -87,24 +99,31 @@ class Templates:
             for at in range(0, len(s) - size + 1, size):
                 for band, m in enumerate(self.mult):
                     self.bands[size][band].setdefault(int((s[at:at + size] * m).min()), set()).add(k)
-        self.used = {c: [np.array(sorted(b), U64) for b in self.bands[c]] for c in CLASSES if any(self.bands[c])}
-
-    def retrieve(self, s: np.ndarray) -> set[int]:
-        """Templates that share a band with some window."""
-        found: set[int] = set()
+        self.used = {c: [np.array(sorted(b), U64) for b in self.bands[c]] for c in CLASSES if any(self.bands[c])}  # keys in order
+
+    def retrieve(self, s: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+        """(document, template) pairs that share a band in some window; ``ends``: where each document's shingles end in ``s``."""
+        begins = np.r_[0, ends[:-1]]
+        found: set[tuple[int, int]] = set()
+        windows = {}
+        for size in self.used:
+            n = -(-(ends - begins) // size)
+            doc = np.repeat(np.arange(len(ends)), n)
+            starts = begins[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * size
+            windows[size] = doc, starts, np.flatnonzero(doc[1:] == doc[:-1])
         for band, m in enumerate(self.mult):
             mixed = s * m
             for size, keys in self.used.items():
-                starts = np.arange(0, len(mixed), size)
-                low = np.minimum.reduceat(mixed, starts)
-                if len(low) > 1:
-                    low = np.minimum(low, np.r_[low[1:], low[-1:]])  # two chunk lengths, every chunk length
-                if len(keys[band]):
-                    at = np.searchsorted(keys[band], low)
-                    hit = keys[band][np.minimum(at, len(keys[band]) - 1)] == low
-                    for key in np.unique(low[hit]).tolist():
-                        found |= self.bands[size][band][key]
-        return found
+                doc, starts, on = windows[size]
+                low = mixed if size == 1 else np.minimum.reduceat(mixed, starts)
+                wide = low.copy()
+                wide[on] = np.minimum(low[on], low[on + 1])  # two chunk lengths, every chunk length
+                near = np.flatnonzero(wide <= keys[band][-1])
+                at = np.searchsorted(keys[band], wide[near])
+                near = near[keys[band][at] == wide[near]]
+                for k, key in zip(doc[near].tolist(), wide[near].tolist()):
+                    found.update((k, t) for t in self.bands[size][band][key])
+        return sorted(found)
 
     def verify(self, s: np.ndarray, k: int) -> tuple[float, int, int]:
         """Share of the template's shingles that the document holds, the word where the first stands, and how many."""
@@ -127,14 +146,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     def scan(batches):
         known, hasher = Templates(templates), Hasher()
         for batch in slices(batches):
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = hasher.shingles(words_of(text))
-                if len(s):
-                    for k in sorted(known.retrieve(s)):
-                        share, first, held = known.verify(s, k)
-                        if share >= CONTAINED:
-                            rows.append((doc_id, known.names[k], share, first, held))
+            s, ends = hasher.of_texts(batch.column(1).to_pylist())
+            ids, begins, rows = batch.column(0).to_pylist(), np.r_[0, ends[:-1]], []
+            for doc, k in known.retrieve(s, ends) if len(s) else ():
+                share, first, held = known.verify(s[begins[doc]:ends[doc]], k)
+                if share >= CONTAINED:
+                    rows.append((ids[doc], known.names[k], share, first, held))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()))], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
@@ -143,7 +160,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
 def _sql() -> str:
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
-    shingle = "list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))"
+    shingle = "[array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]"
     fold = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
     return f"""WITH t AS (SELECT license, unnest(list_distinct({shingle})) AS s FROM (SELECT license, {fold.format('text')} AS w FROM (VALUES {rows}) AS v(license, text))),
     n AS (SELECT license, count(*) AS n FROM t GROUP BY license),
