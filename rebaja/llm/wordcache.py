@@ -63,13 +63,14 @@ class Library:
 
 
 class _Parts(dict):
-    """Ids of parts, made when first asked for. A part that is empty or ends in a space cannot stand alone: None."""
+    """Ids of parts, made when first asked for. With ``strict``, a part that is empty or has a space at an end cannot stand alone: None."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str, alone: bool):
-        self.encode, self.lead, self.alone = encode, lead, alone
+    def __init__(self, encode: Callable[[str], bytes], lead: str = "", strict: bool = False):
+        self.encode, self.lead, self.strict = encode, lead, strict
 
     def __missing__(self, part: str) -> bytes | None:
-        ids = self[part] = self.encode(self.lead + part) if self.alone or (part and not part[-1].isspace()) else None
+        alone = not self.strict or part and not part[-1].isspace() and (self.lead or not part[0].isspace())
+        ids = self[part] = self.encode(self.lead + part) if alone else None
         return ids
 
 
@@ -77,16 +78,25 @@ class PartCache:
     """Texts to ids as little-endian unsigned 16-bit integers, with ``encode`` for a part. Past ``limit`` parts the cache starts anew."""
 
     def __init__(self, encode: Callable[[str], bytes], spaced: bool, limit: int = 500_000):
-        """``spaced``: the space before a part belongs to it (byte-level patterns); else spaces are dropped."""
+        """``spaced``: the space before a part belongs to it (byte-level patterns). Else spaces, line ends and case are dropped."""
         self.encode, self.spaced, self.limit = encode, spaced, limit
-        self.first, self.later = _Parts(encode, "", not spaced), _Parts(encode, " " if spaced else "", not spaced)
+        self.first, self.later = _Parts(encode, "", True), _Parts(encode, " " if spaced else "", spaced)
+        self.line_end = encode("\n")
 
     def __call__(self, text: str) -> bytes:
         for cache in (self.first, self.later):
             if len(cache) > self.limit:
                 cache.clear()
-        head, *rest = text.split(" ")
+        get = self.later.__getitem__
+        if not self.spaced:
+            if "\u0130" not in text and "\u03a3" not in text:  # the two letters whose lower case is no matter of one letter
+                text = text.lower()
+            return b"".join(map(get, text.replace("\n", " ").split(" ")))
         try:
-            return b"".join([self.first[head], *map(self.later.__getitem__, rest)])
+            lines = []
+            for line in text.split("\n"):  # a line end between two non-spaces is a piece of its own
+                head, *rest = line.split(" ")
+                lines.append(b"".join([self.first[head], *map(get, rest)]))
+            return self.line_end.join(lines)
         except TypeError:
             return b"".join(map(self.encode, CUT.split(text))) if text else b""
