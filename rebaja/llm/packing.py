@@ -85,7 +85,7 @@ class Shard:
         a, b = self.starts[self.terms[doc]], self.ends[self.terms[doc]]
         size = b - a
         at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.bincount(self.docs[at], self.weights[at], self.n)
+        return np.bincount(self.docs[at], self.weights[at], self.n).astype(float)  # whole numbers if no term tells
 
 
 def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
