@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rebaja.llm.common import prefix_sums, texts
+from rebaja.llm.common import free_name, prefix_sums, texts
 
 # The kinds in their order, and the patterns of the first four.
 # Possessive forms and look-behinds give the same matches as the plain patterns
@@ -129,17 +129,17 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Kinds are taken one after the other, each on what the earlier ones left, so
     overlapping matches are covered by the first kind. A null text stays null.
     """
-    df = docs
+    df, between, matched = docs, free_name(docs, "__gaps"), free_name(docs, "__found")
     for kind in KINDS:
         gaps, found = _matches(kind, F.col(text))
-        df = df.withColumn("__gaps", gaps).withColumn("__found", found)
-        n = F.size("__found")
+        df = df.withColumn(between, gaps).withColumn(matched, found)
+        n = F.size(matched)
 
         def tail(gap: Column, match: Column) -> Column:
             ok = confirmed(kind, match) if kind in BASE else confirmed(kind, match) & (_score(kind, gap) >= THRESHOLD)
             return F.concat(gap, F.when(ok, F.lit(f"[{kind.upper()}]")).otherwise(match))
-        joined = F.concat(F.array_join(F.zip_with(F.slice("__gaps", 1, n), F.col("__found"), tail), ""), F.element_at("__gaps", -1))
-        df = df.withColumn(text, F.when(n > 0, joined).otherwise(F.col(text))).drop("__gaps", "__found")
+        joined = F.concat(F.array_join(F.zip_with(F.slice(between, 1, n), F.col(matched), tail), ""), F.element_at(between, -1))
+        df = df.withColumn(text, F.when(n > 0, joined).otherwise(F.col(text))).drop(between, matched)
     return df
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rebaja.llm.common import U64, components, forest, slices, texts
+from rebaja.llm.common import U64, components, forest, free_name, slices, texts
 from rebaja.session import materialise
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
@@ -198,7 +198,8 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the smallest doc_id stays, of several such the first read."""
-    rows = materialise(docs.withColumn("__fp", fingerprint_column(F.coalesce("text", F.lit("")))).withColumn("__row", F.monotonically_increasing_id()), "simhash-docs")
-    keys = rows.select(F.col("__fp").alias("fp"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"))
+    fp, row = free_name(docs, "__fp"), free_name(docs, "__row")
+    rows = materialise(docs.withColumn(fp, fingerprint_column(F.coalesce("text", F.lit("")))).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    keys = rows.select(F.col(fp).alias("fp"), F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"))
     best = keys.join(near_groups(keys), "fp").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
-    return rows.join(best.select(F.col("best.row").alias("__row")), "__row", "left_semi").drop("__fp", "__row")
+    return rows.join(best.select(F.col("best.row").alias(row)), row, "left_semi").select(*docs.columns)
