@@ -177,12 +177,12 @@ def near_fingerprints(prints: DataFrame) -> DataFrame:
 
 
 def near_groups(rows: DataFrame) -> DataFrame:
-    """``rows`` (fp, doc_id, ...) to (fp, component_id): the smallest doc_id of all rows reachable over links."""
+    """``rows`` (fp, doc_id, ...) to (fp, root, component_id): the group, and the smallest doc_id of its rows. Groups of repeated ids can share the latter."""
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     groups = near_fingerprints(prints.select("fp")).withColumnRenamed("node", "fp")
     placed = prints.join(groups, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return placed.join(lowest, "root").select("fp", "component_id")
+    return placed.join(lowest, "root").select("fp", "root", "component_id")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -201,5 +201,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     fp, row = free_name(docs, "__fp"), free_name(docs, "__row")
     rows = materialise(docs.withColumn(fp, fingerprint_column(F.coalesce("text", F.lit("")))).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     keys = rows.select(F.col(fp).alias("fp"), F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"))
-    best = keys.join(near_groups(keys), "fp").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    best = keys.join(near_groups(keys), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     return rows.join(best.select(F.col("best.row").alias(row)), row, "left_semi").select(*docs.columns)
