@@ -102,3 +102,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         (low + (high - low) * (F.col("_at") - F.floor("_at"))).alias("_q"))
     return per_rank.groupBy(*keys, "n").agg(
         *[F.max(F.when(F.col("_p") == p, F.col("_q"))).alias(name) for name, p in probs.items()])
+
+
+def top_per(df: DataFrame, by: str, order: list, n: int | None) -> DataFrame:
+    """The first ``n`` rows of each ``by``; None: all. The rank limit is applied before the shuffle as well."""
+    if n is None:
+        return df
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")

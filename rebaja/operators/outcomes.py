@@ -97,13 +97,13 @@ def outcome_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def outcome_details(results: DataFrame, limit: int = 200) -> DataFrame:
-    """Rows with enough sales, worst velocity error first."""
-    return results.where("data_quality = 'normal'").orderBy(
-        F.desc_nulls_last(F.abs("velocity_error_pct")), "brand", "parent_sku", "store", "decision_week").limit(limit)
+def outcome_details(results: DataFrame, limit: int | None = 200) -> DataFrame:
+    """Rows with enough sales: of each brand the ``limit`` with the worst velocity error."""
+    worst = [F.desc_nulls_last(F.abs("velocity_error_pct")), "parent_sku", "store", "decision_week"]
+    return lookups.top_per(results.where("data_quality = 'normal'"), "brand", worst, limit)
 
 
-def worst_predictions(results: DataFrame, limit: int = 5) -> DataFrame:
+def worst_predictions(results: DataFrame, limit: int | None = 5) -> DataFrame:
     rows = outcome_details(results.where("velocity_error_pct is not null"), limit)
     return rows.select("brand", "parent_sku", "store", "predicted_velocity", "actual_velocity", "velocity_error_pct",
                        "confidence_tier", "decision_week")

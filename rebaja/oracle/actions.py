@@ -277,7 +277,7 @@ FROM (SELECT c.*, coalesce(own, lst) AS our_price
                    CAST(max(comp_list_price) AS BIGINT) AS lst, arg_min(competitor, (comp_price, competitor)) AS cheapest_site, count(*) AS n_competitors
             FROM fx_competitor_prices WHERE comp_price > 0 GROUP BY ALL) c
       LEFT JOIN (SELECT brand, parent_sku AS codigo_padre, (list_sort(list(current_price)))[len(list(current_price)) // 2 + 1] AS own
-                 FROM acts WHERE current_price > 0 GROUP BY ALL) USING (brand, codigo_padre)) WHERE our_price > 0""",
+                 FROM acts_now WHERE current_price > 0 GROUP BY ALL) USING (brand, codigo_padre)) WHERE our_price > 0""",
     "child_scored": """
 SELECT *, least(0.99::DOUBLE, 0.30::DOUBLE + 0.08::DOUBLE * coalesce(lifecycle_stage_code, 3) + 0.5::DOUBLE * coalesce(discount_rate, 0)) AS markdown_probability,
        least(0.60::DOUBLE, coalesce(discount_rate, 0) + 0.10::DOUBLE) AS raw_depth FROM enhanced""",

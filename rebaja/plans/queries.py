@@ -98,9 +98,9 @@ def _(r):
     return r.t.transactions.select(*_LINE)
 
 
-@query("column_pruned_read", "SELECT sku, centro, fecha, cantidad, precio_final FROM fx_line WHERE fecha >= TIMESTAMP '1998-01-01'")
+@query("column_pruned_read", "SELECT sku, centro, fecha, cantidad, precio_final FROM fx_line")
 def _(r):
-    return r.t.transactions.where("fecha >= '1998-01-01'").select("sku", "centro", "fecha", "cantidad", "precio_final")
+    return r.t.transactions.select("sku", "centro", "fecha", "cantidad", "precio_final")
 
 
 @query("latest_snapshot", "SELECT p.* FROM parent_sales p JOIN (SELECT brand, max(week) AS week FROM parent_sales GROUP BY brand) USING (brand, week)")
@@ -807,12 +807,12 @@ def _(r):
 
 
 @query("order_actions", """
-SELECT brand, week, parent_sku, store, urgency, rev_delta, row_number() OVER (ORDER BY CASE urgency WHEN 'INCREASE' THEN -1 WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END,
-       rev_delta DESC, brand, parent_sku, store) AS place FROM acts_now ORDER BY place LIMIT 100""")
+SELECT brand, week, parent_sku, store, urgency, rev_delta, row_number() OVER (PARTITION BY brand ORDER BY CASE urgency WHEN 'INCREASE' THEN -1 WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END,
+       rev_delta DESC, parent_sku, store) AS place FROM acts_now""")
 def _(r):
-    top = A.order_actions(r.actions).limit(100).select("brand", "week", "parent_sku", "store", "urgency", "rev_delta")
-    place = F.row_number().over(Window.orderBy(A.urgency_rank(), F.desc("rev_delta"), "brand", "parent_sku", "store"))
-    return top.withColumn("place", place)
+    every = A.order_actions(r.actions).select("brand", "week", "parent_sku", "store", "urgency", "rev_delta")
+    place = F.row_number().over(Window.partitionBy("brand").orderBy(A.urgency_rank(), F.desc("rev_delta"), "parent_sku", "store"))
+    return every.withColumn("place", place)
 
 
 @query("page_of_actions", """
@@ -1040,14 +1040,14 @@ def _(r):
 
 
 @query("outcome_details", """
-SELECT * FROM outcome WHERE data_quality = 'normal' ORDER BY abs(velocity_error_pct) DESC NULLS LAST, brand, parent_sku, store, decision_week LIMIT 200""")
+SELECT * FROM outcome WHERE data_quality = 'normal' QUALIFY row_number() OVER (PARTITION BY brand ORDER BY abs(velocity_error_pct) DESC NULLS LAST, parent_sku, store, decision_week) <= 200""")
 def _(r):
     return O.outcome_details(r.outcomes)
 
 
 @query("worst_predictions", """
 SELECT brand, parent_sku, store, predicted_velocity, actual_velocity, velocity_error_pct, confidence_tier, decision_week FROM outcome
-WHERE data_quality = 'normal' AND velocity_error_pct IS NOT NULL ORDER BY abs(velocity_error_pct) DESC, brand, parent_sku, store, decision_week LIMIT 5""")
+WHERE data_quality = 'normal' AND velocity_error_pct IS NOT NULL QUALIFY row_number() OVER (PARTITION BY brand ORDER BY abs(velocity_error_pct) DESC, parent_sku, store, decision_week) <= 5""")
 def _(r):
     return O.worst_predictions(r.outcomes)
 
@@ -1254,7 +1254,7 @@ def _(r):
 
 @query("competitor_summary", """
 SELECT brand, codigo_padre AS parent_sku, count(*) AS n_competitors, string_agg(competitor || ':' || CAST(CAST(comp_price AS BIGINT) AS VARCHAR), ',' ORDER BY competitor) AS competitors
-FROM fx_competitor_prices WHERE comp_price > 0 GROUP BY ALL ORDER BY brand, parent_sku LIMIT 100""")
+FROM fx_competitor_prices WHERE comp_price > 0 GROUP BY ALL""")
 def _(r):
     offers = F.array_join(F.transform("competitors", lambda o: F.concat_ws(":", o["name"], o["price"].cast("string"))), ",")
     return K.competitor_summary(r.t.competitor_prices).withColumn("competitors", offers)
@@ -1268,7 +1268,7 @@ def _(r):
 
 
 def _position(r):
-    return K.price_position(r.t.competitor_prices, r.history)
+    return K.price_position(r.t.competitor_prices, r.actions)
 
 
 @query("price_position", "SELECT * FROM position")
@@ -1293,25 +1293,25 @@ def _(r):
 
 
 @query("position_extremes", """
-SELECT * FROM (SELECT *, 'overpriced' AS side FROM position ORDER BY gap_pct DESC, brand, parent_sku LIMIT 15)
-UNION ALL SELECT * FROM (SELECT *, 'underpriced' AS side FROM position ORDER BY gap_pct, brand, parent_sku LIMIT 10)""")
+SELECT * FROM (SELECT *, 'overpriced' AS side FROM position QUALIFY row_number() OVER (PARTITION BY brand ORDER BY gap_pct DESC, parent_sku) <= 15)
+UNION ALL SELECT * FROM (SELECT *, 'underpriced' AS side FROM position QUALIFY row_number() OVER (PARTITION BY brand ORDER BY gap_pct, parent_sku) <= 10)""")
 def _(r):
     return K.position_extremes(_position(r))
 
 
 @query("opportunities", """
 SELECT brand, parent_sku, our_price, comp_min, velocity, round((comp_min - our_price) / 1.19::DOUBLE * velocity, 2) AS margin_impact FROM position
-JOIN (SELECT brand, parent_sku, round(sum(current_velocity), 6) AS velocity FROM acts GROUP BY ALL) USING (brand, parent_sku) WHERE comp_min > our_price
-ORDER BY margin_impact DESC, brand, parent_sku LIMIT 20""")
+JOIN (SELECT brand, parent_sku, round(sum(current_velocity), 6) AS velocity FROM acts_now GROUP BY ALL) USING (brand, parent_sku) WHERE comp_min > our_price
+QUALIFY row_number() OVER (PARTITION BY brand ORDER BY margin_impact DESC, parent_sku) <= 20""")
 def _(r):
-    return K.opportunities(_position(r), r.history)
+    return K.opportunities(_position(r), r.actions)
 
 
 @query("threats", """
 SELECT brand, parent_sku, our_price, comp_min, cheapest_site, gap_pct, CASE WHEN gap_pct > 20 THEN 'critical' WHEN gap_pct > 10 THEN 'high' ELSE 'medium' END AS severity, revenue_at_risk
-FROM position JOIN (SELECT brand, parent_sku, sum(current_weekly_rev) AS revenue_at_risk FROM acts GROUP BY ALL) USING (brand, parent_sku) WHERE position = 'expensive'""")
+FROM position JOIN (SELECT brand, parent_sku, sum(current_weekly_rev) AS revenue_at_risk FROM acts_now GROUP BY ALL) USING (brand, parent_sku) WHERE position = 'expensive'""")
 def _(r):
-    return K.threats(_position(r), r.history)
+    return K.threats(_position(r), r.actions)
 
 
 _SNAPS = """
@@ -1348,9 +1348,8 @@ def _(r):
 
 @query("build_catalog", """
 SELECT brand, codigo_padre, product_name, vendor_brand, primera_jerarquia, segunda_jerarquia, ean11 FROM (
-SELECT *, row_number() OVER (PARTITION BY brand ORDER BY CASE WHEN primera_jerarquia = 'Footwear' THEN 0 ELSE 1 END, codigo_padre) AS k FROM (
 SELECT brand, codigo_padre, arg_min(segunda_jerarquia, material) || ' ' || regexp_extract(any_value(codigo_padre), '(\\d+)-', 1) AS product_name, arg_min(grupo_articulos_descripcion, material) AS vendor_brand,
-       arg_min(primera_jerarquia, material) AS primera_jerarquia, arg_min(segunda_jerarquia, material) AS segunda_jerarquia, arg_min(ean11, material) AS ean11 FROM fx_products GROUP BY ALL)) WHERE k <= 200""")
+       arg_min(primera_jerarquia, material) AS primera_jerarquia, arg_min(segunda_jerarquia, material) AS segunda_jerarquia, arg_min(ean11, material) AS ean11 FROM fx_products GROUP BY ALL)""")
 def _(r):
     return K.build_catalog(r.t.products)
 
