@@ -953,9 +953,9 @@ def _log(r):
 
 
 @query("apply_decisions", """
-SELECT a.brand, a.week, parent_sku || '-' || store AS key, CASE WHEN status IS NULL OR status = 'rejected' THEN 'approved' ELSE status END AS status,
-       d.manual_price, CASE WHEN status IS NULL OR status = 'rejected' THEN CAST(a.week AS TIMESTAMP) + INTERVAL 2 DAY ELSE d.ts END AS ts
-FROM acts a LEFT JOIN decided d ON d.brand = a.brand AND d.week = a.week AND d.key = parent_sku || '-' || store""")
+SELECT brand, week, key, CASE WHEN status IS NULL OR status = 'rejected' THEN 'approved' ELSE status END AS status,
+       d.manual_price, CASE WHEN status IS NULL OR status = 'rejected' THEN CAST(week AS TIMESTAMP) + INTERVAL 2 DAY ELSE d.ts END AS ts
+FROM (SELECT brand, week, parent_sku || '-' || store AS key FROM acts) a LEFT JOIN decided d USING (brand, week, key)""")
 def _(r):
     return D.apply_decisions(_log(r)).drop("event_user")
 
@@ -984,8 +984,8 @@ def _(r):
 
 
 @query("planner_queue", """
-SELECT a.brand, a.week, parent_sku, store, d.key, d.status AS bm_status, d.manual_price FROM acts a
-JOIN decided d ON d.brand = a.brand AND d.week = a.week AND d.key = parent_sku || '-' || store WHERE d.status <> 'bm_approved'""")
+SELECT brand, week, parent_sku, store, key, d.status AS bm_status, d.manual_price FROM (SELECT brand, week, parent_sku, store, parent_sku || '-' || store AS key FROM acts) a
+JOIN decided d USING (brand, week, key) WHERE d.status <> 'bm_approved'""")
 def _(r):
     moved = D.planner_transition(D.decide_by_formula(r.history), _planned(r)).drop("bm_status")
     return D.planner_queue(r.history, moved).select("brand", "week", "parent_sku", "store", "key", "bm_status", "manual_price")
