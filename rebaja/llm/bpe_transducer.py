@@ -16,6 +16,7 @@ import codecs
 import gc
 import hashlib
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from rebaja.llm.common import slices, texts
-from rebaja.llm.wordcache import PartCache
+from rebaja.llm.wordcache import PartCache, warm
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_chars bigint"
 
@@ -34,10 +35,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class State(dict):
+    """Arcs by byte: the next state and the token that ends there, made when first asked for.
+
+    ``live``: the boundaries in ``text`` at which a token still being read may begin, each with the token that ends there.
+    """
+
+    __slots__ = ("owner", "text", "live")
+
+    def __init__(self, owner: Transducer, text: bytes, live: tuple):
+        self.owner, self.text, self.live = owner, text, live
+
+    def __missing__(self, byte: int) -> tuple[State, bytes]:
+        arc = self[byte] = self.owner.step(self, byte)
+        return arc
+
+
 class Transducer:
     """Encodes pieces of the pre-tokeniser; at most about ``limit`` states are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
         self.ranks, self.limit = ranks, limit
         self.opens = {t[:n] for t in ranks for n in range(1, len(t))}  # what a token may still grow from
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
@@ -46,17 +63,16 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.arcs: list[dict[int, tuple[int, bytes]]] = []
-        self.start = self._state((b"", ((0, None),)))
-
-    def _state(self, key: tuple) -> int:
-        if key not in self.number:
-            self.number[key] = len(self.keys)
-            self.keys.append(key)
-            self.arcs.append({})
-        return self.number[key]
+        for state in getattr(self, "states", {}).values():
+            state.clear()  # arcs may lead in circles
+        self.states: dict[tuple, State] = {}
+        self.start = self._state(b"", ((0, None),))
+
+    def _state(self, text: bytes, live: tuple) -> State:
+        state = self.states.get((text, live))
+        if state is None:
+            state = self.states[text, live] = State(self, text, live)
+        return state
 
     def parts(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts that the last merge of a token joins; None if merges do not lead to it."""
@@ -98,26 +114,29 @@ class Transducer:
             self.pairs[key] = ok
         return self.pairs[key]
 
-    def _step(self, state: int, byte: int) -> tuple[int, bytes]:
+    def step(self, state: State, byte: int) -> tuple[State, bytes]:
         """The next state, and the token that ends at this byte."""
-        text, live = self.keys[state]
-        text += bytes((byte,))
-        token = next(t for k, last in live if (t := text[k:]) in self.ranks and self.follows(last, t))
-        still = [x for x in live if text[x[0]:] in self.opens]
+        text, ranks = state.text + bytes((byte,)), self.ranks
+        for k, last in state.live:
+            token = text[k:]
+            if token in ranks and self.follows(last, token):
+                break
+        else:
+            raise ValueError("the ranks lack single bytes")
+        still = [x for x in state.live if text[x[0]:] in self.opens]
         still.append((len(text), token))
         base = still[0][0]
-        return self._state((text[base:], tuple([(k - base, t) for k, t in still]))), token
+        return self._state(text[base:], tuple([(k - base, t) for k, t in still]) if base else tuple(still)), token
 
-    def _final(self, state: int, ends: list[bytes]) -> int:
+    def _final(self, state: State, ends: list[bytes]) -> int:
         """The last boundary that all open ones share, by steps back over ``ends``, the tokens that end at each place."""
-        text, live = self.keys[state]
-        first = len(ends) - len(text)
+        first = len(ends) - len(state.text)
         path, at = {len(ends)}, len(ends)
         while at > 0:
             at -= len(ends[at - 1])
             path.add(at)
         shared = len(ends)
-        for k, _ in live:
+        for k, _ in state.live:
             at = first + k
             while at not in path:
                 at -= len(ends[at - 1])
@@ -127,9 +146,11 @@ class Transducer:
     def _emit(self, ends: list[bytes], at: int) -> list[int]:
         out = []
         while at:
-            out.append(self.ranks[ends[at - 1]])
-            at -= len(ends[at - 1])
-        return out[::-1]
+            token = ends[at - 1]
+            out.append(self.ranks[token])
+            at -= len(token)
+        out.reverse()
+        return out
 
     def encode(self, piece: bytes, window: int = 256) -> list[int]:
         """Ids of one piece. A piece that is a token is that token, whether merges lead to it or not.
@@ -138,18 +159,16 @@ class Transducer:
         """
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.keys) > self.limit:
+        if len(self.states) > self.limit:
             self._reset()
         out: list[int] = []
         ends: list[bytes] = []
-        state, arcs = self.start, self.arcs
-        for byte in piece:
-            arc = arcs[state].get(byte)
-            if arc is None:
-                arc = arcs[state][byte] = self._step(state, byte)
-            state = arc[0]
-            ends.append(arc[1])
-            if len(ends) >= window and (done := self._final(state, ends)):
+        state = self.start
+        for at in range(0, len(piece), window):
+            for byte in piece[at:at + window]:
+                state, token = state[byte]
+                ends.append(token)
+            if at + window < len(piece) and (done := self._final(state, ends)):
                 out += self._emit(ends, done)
                 del ends[:done]
         return out + self._emit(ends, len(ends))
@@ -158,8 +177,8 @@ class Transducer:
 class Encoder:
     """Whole texts to ids, as little-endian unsigned 16-bit integers; each match of ``pattern`` by itself."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer, self.find = Transducer(ranks), regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 400_000):
+        self.limit, self.transducer, self.find = limit, Transducer(ranks), regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.cache = PartCache(self._part, spaced=True)
 
@@ -168,15 +187,13 @@ class Encoder:
         return struct.pack(f"<{len(ids)}H", *ids)
 
     def _part(self, part: str) -> bytes:
-        if len(self.pieces) > 200_000:
-            self.pieces.clear()
-        found = self.find(part)
-        if len(found) == 1:
-            return self._piece(part)
+        found, known = self.find(part), self.pieces
+        if len(known) > self.limit:
+            known.clear()
         for piece in found:
-            if piece not in self.pieces:
-                self.pieces[piece] = self._piece(piece)
-        return b"".join([self.pieces[p] for p in found])
+            if piece not in known:
+                known[piece] = self._piece(piece)
+        return known[part] if len(found) == 1 else b"".join([known[p] for p in found])
 
     def __call__(self, text: str) -> bytes:
         return self.cache(text)
@@ -214,11 +231,11 @@ def codec_digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, run: in
 
     The ranks go to the tasks once, as a broadcast: they are a vocabulary file of fixed size.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared, own = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex
 
     def digest(batches):
         gc.disable()  # many small objects, no cycles
-        encoder, decoder = Encoder(shared.value, pattern), StreamDecoder(shared.value)
+        encoder, decoder = warm(own, lambda: (Encoder(shared.value, pattern), StreamDecoder(shared.value)))
         for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():

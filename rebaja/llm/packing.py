@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from rebaja.llm.common import slices, texts
-from rebaja.llm.wordcache import Library, PartCache
+from rebaja.llm.wordcache import Library, PartCache, warm
 from rebaja.session import materialise
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, 1 << 16
@@ -29,7 +29,7 @@ def _cut(tokenizer: str, end_id: int):
     """Each document to its whole windows, done at once, and a tail of less than a window that waits for others."""
     def cut(batches):
         gc.disable()  # many small objects, no cycles
-        cache, part, n = PartCache(Library(tokenizer, spaced=False), spaced=False), TaskContext.get().partitionId(), 0
+        cache, part, n = warm((tokenizer, "packing"), lambda: PartCache(Library(tokenizer, spaced=False), spaced=False)), TaskContext.get().partitionId(), 0
         rng = np.random.default_rng(11)
         mix = rng.integers(1, 1 << 63, VOCABULARY, dtype=np.int64)  # a random order of the vocabulary
         for batch in slices(batches):
