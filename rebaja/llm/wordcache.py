@@ -18,6 +18,8 @@ import numpy as np
 CUT = re.compile(r"(?<=\S)(?= )")
 # Parts of these signs split the same way under either pattern: runs of letters, runs of stops, line ends.
 PLAIN = re.compile("[{0}](?:[{0}]|\n(?=[{0}]))*".format("A-Za-zÀ-ÖØ-öø-įı-ɏ.,")).fullmatch
+# A lone stop after a letter and before a space: a piece of its own under patterns that drop spaces.
+STOP = re.compile("(?<=[a-zà-öø-ÿ])([.,])(?= |$)").sub
 WORDS = re.compile("[^.,\n]+|[.,]+").findall
 PIECES = re.compile(" ?[^ .,\n]+| ?[.,]+|\n").findall
 
@@ -107,7 +109,7 @@ class PartCache:
         if not self.spaced:
             if "\u0130" not in text and "\u03a3" not in text:  # the two letters whose lower case is no matter of one letter
                 text = text.lower()
-            return b"".join(map(get, text.replace("\n", " ").split(" ")))
+            return b"".join(map(get, STOP(r" \1", text.replace("\n", " ")).split(" ")))
         try:
             lines = []
             for line in text.split("\n"):  # a line end between two non-spaces is a piece of its own
