@@ -51,8 +51,10 @@ def vectors_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
 
 
-def coded(vectors: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(all, usable): all rows of ``vectors`` (vec_id, embedding) with a row number ``uid``; of the usable ones also the vector as doubles and its code.
+def coded(vectors: DataFrame, name: str) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(all, usable, fit): all rows of ``vectors`` (vec_id, embedding) with a row number ``uid``; of the usable ones also the vector as doubles and its code.
+
+    ``fit`` is the mean and projection of the codes, and the sample (of length one) they were fitted on.
 
     A vector that is null, zero, or holds a null or a non-finite component is
     not usable, nor is one whose length differs from that of most.
@@ -67,7 +69,8 @@ def coded(vectors: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     n = usable.count()
     share = int(1e6 * min(1.0, SAMPLE / max(n, 1)))
     sample = usable.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < share).select("uid", "embedding").orderBy("uid").collect()
-    mean, projection = fit_rotation(unit(np.array([r.embedding for r in sample], float).reshape(-1, d)) if sample else np.zeros((0, d)))
+    sample = unit(np.array([r.embedding for r in sample], float).reshape(-1, d)) if sample else np.zeros((0, d))
+    mean, projection = fit_rotation(sample)
 
     def code(batches):
         for batch in slices(batches, 4096):
@@ -77,4 +80,4 @@ def coded(vectors: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
             rows_of = [r.tobytes() for r in raw.astype("<f8")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows_of, pa.binary()), pa.array(encode(unit(raw), mean, projection).view(np.int64))], names=["uid", "vec_id", "vector", "code"])
 
-    return rows.select("uid", "vec_id"), materialise(usable.select("uid", "vec_id", "embedding").mapInArrow(code, "uid bigint, vec_id bigint, vector binary, code bigint"), f"{name}-codes")
+    return rows.select("uid", "vec_id"), materialise(usable.select("uid", "vec_id", "embedding").mapInArrow(code, "uid bigint, vec_id bigint, vector binary, code bigint"), f"{name}-codes"), (mean, projection, sample)

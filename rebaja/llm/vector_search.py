@@ -65,7 +65,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     bucket or candidate list is cut. Vectors that are null, zero, not finite or
     of an unusual length take no part; of equal scores the smaller vec_id is nearer.
     """
-    _, codes = coded(vectors, "search")
+    _, codes, _ = coded(vectors, "search")
     asked = codes.where(is_query)
     shards, blocks = max(1, -(-codes.count() // SHARD)), max(1, -(-asked.count() // QUERIES))
     spread = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n))

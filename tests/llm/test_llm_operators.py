@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rebaja.llm import bpe_transducer, chat_views, license_scan, near_vectors, packing, pii, simhash, token_files, toxicity, vector_search
+from rebaja.llm.binary_codes import fit_rotation
 from rebaja.llm.common import components, forest
 from rebaja.llm.queries import SQL
 
@@ -277,6 +278,28 @@ def test_search_recall_on_the_table(spark):
     assert np.mean(hits) >= 0.9
 
 
+def cone(rows, dims, common, seed=3):
+    """Unit vectors whose pairs have about the cosine ``common``."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((rows, dims))
+    x = np.sqrt(1 - common) * x / np.linalg.norm(x, axis=1, keepdims=True) + np.sqrt(common) * np.eye(dims)[0]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("common, tables", [(0.0, True), (0.8, False)])
+def test_near_vectors_with_a_common_mean(spark, common, tables):
+    x, rng = cone(1500, 64, common), np.random.default_rng(4)
+    turned = rng.standard_normal(x.shape)
+    turned -= (turned * x).sum(1, keepdims=True) * x
+    x = np.r_[x, 0.9501 * x + np.sqrt(1 - 0.9501 ** 2) * turned / np.linalg.norm(turned, axis=1, keepdims=True)]
+    assert (near_vectors.reach(x, *fit_rotation(x)) is not None) == tables
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = near_vectors.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    assert near.sum() >= 3000 and got.n_links.tolist() == near.sum(1).tolist()
+    assert {v for v, kept in zip(got.vec_id, got.kept) if kept} == set(linked(range(len(x)), near))
+
+
 def test_licenses_in_running_text(spark, empty):
     text = license_scan.TEMPLATES["mit-text"]
     words = text.split()
