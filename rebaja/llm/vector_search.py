@@ -5,19 +5,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rebaja.llm.binary_codes import BITS, BYTES, DISTANCE, coded, unit
+from rebaja.llm.binary_codes import BYTES, DISTANCE, coded, unit
 from rebaja.llm.common import U64
 
 #: Rows of one index shard, and queries sent to it together: what one task holds.
 SHARD, QUERIES = 8192, 4096
-#: How sure, in deviations, the probed radius holds a vector as near as the k-th found.
-SURE = 1.7
 
 
-def needed_radius(cosine: np.ndarray | float) -> np.ndarray | float:
-    """Radius that holds the code of a vector at this cosine, with ``SURE`` deviations to spare."""
-    p = np.arccos(np.clip(cosine, -1, 1)) / np.pi
-    return BITS * p + SURE * np.sqrt(BITS * p * (1 - p))
+def least_apart(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Per vector of length one, for s = 0 to 8: a bound below the squared distance to any vector whose code differs by over s bits in every byte.
+
+    A bit differs only across its plane, so the distance along the plane's normal is at least that of the vector from
+    the plane. The bound adds up the s + 1 nearest planes of each byte and holds for every mean and every distribution.
+    """
+    planes = ((vectors - mean) @ projection) ** 2 / np.linalg.norm(projection, 2) ** 2  # normals may overlap below 64 dimensions
+    sums = np.sort(planes.reshape(-1, BYTES, 8), axis=2).sum(axis=1).cumsum(axis=1)
+    return np.column_stack([sums, np.full(len(sums), np.inf)])
 
 
 class MultiIndex:
@@ -38,19 +41,22 @@ class MultiIndex:
         return np.concatenate(found)
 
 
-def search_shard(index: MultiIndex, ids: np.ndarray, uids: np.ndarray, vectors: np.ndarray, code: np.ndarray, uid: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the ``k`` nearest of one shard and their cosines; the radius grows until it surely holds them."""
+def search_shard(index: MultiIndex, ids: np.ndarray, uids: np.ndarray, vectors: np.ndarray, code: np.ndarray, uid: int, vector: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the ``k`` nearest of one shard and their cosines; the radius grows until no vector left can be as near (``least`` of ``least_apart``)."""
     seen = np.zeros(len(uids), bool)
     seen[uids == uid] = True
     rows, scores = np.array([], np.int64), np.array([])
     for flips in range(BYTES + 1):
-        new = index.probe(code, flips)
-        new = np.unique(new[~seen[new]])
+        if 2 * np.count_nonzero(seen) > len(seen):
+            new = np.flatnonzero(~seen)  # the rest at once
+        else:
+            new = index.probe(code, flips)
+            new = np.unique(new[~seen[new]])
         seen[new] = True
         rows, scores = np.r_[rows, new], np.r_[scores, vectors[new] @ vector]
         best = np.lexsort((ids[rows], -scores))[:k]
         rows, scores = rows[best], scores[best]
-        if seen.all() or len(rows) == k and needed_radius(scores[-1]) <= BYTES * flips + BYTES - 1:
+        if seen.all() or len(rows) == k and least[flips] > 2 * (1 - scores[-1]) + 1e-9:
             break
     return rows, scores
 
@@ -60,12 +66,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     Rows are dealt to shards of about ``SHARD``, each with its own multi-index;
     queries go to every shard in blocks of about ``QUERIES``; the best of each
-    shard are merged. Probing goes on in a shard until the certain radius
-    suffices for the k-th best so far, if need be over the whole shard: no
-    bucket or candidate list is cut. Vectors that are null, zero, not finite or
+    shard are merged. Probing goes on in a shard until no vector left can be as
+    near as the k-th best so far, if need be over the whole shard: no bucket or
+    candidate list is cut, and the result is that of brute force. Vectors that are null, zero, not finite or
     of an unusual length take no part; of equal scores the smaller vec_id is nearer.
     """
-    _, codes, _ = coded(vectors, "search")
+    _, codes, (mean, projection, _) = coded(vectors, "search")
     asked = codes.where(is_query)
     shards, blocks = max(1, -(-codes.count() // SHARD)), max(1, -(-asked.count() // QUERIES))
     spread = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n))
@@ -80,8 +86,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
             index, held = MultiIndex(own.code.to_numpy().view(U64)), stack(own)
             missing = np.iinfo(np.int64).max
             ids, uids = own.vec_id.fillna(missing).to_numpy(np.int64), own.uid.to_numpy()
-            for code, uid, vec_id, vector in zip(queries.code.to_numpy().view(U64), queries.uid, queries.vec_id, stack(queries)):
-                at, scores = search_shard(index, ids, uids, held, code, uid, vector, k)
+            asking = stack(queries)
+            for code, uid, vec_id, vector, least in zip(queries.code.to_numpy().view(U64), queries.uid, queries.vec_id, asking, least_apart(asking, mean, projection)):
+                at, scores = search_shard(index, ids, uids, held, code, uid, vector, least, k)
                 out += [(uid, vec_id, own.vec_id.iloc[i], s) for i, s in zip(at.tolist(), scores.tolist())]
         return pd.DataFrame(out, columns=["uid", "query_id", "vec_id", "score"]).astype({"query_id": "Int64", "vec_id": "Int64"})
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rebaja.llm import bpe_transducer, chat_views, license_scan, near_vectors, packing, pii, simhash, token_files, toxicity, vector_search
-from rebaja.llm.binary_codes import fit_rotation
+from rebaja.llm.binary_codes import encode, fit_rotation
 from rebaja.llm.common import components, forest
 from rebaja.llm.queries import SQL
 
@@ -300,6 +300,33 @@ def test_near_vectors_with_a_common_mean(spark, common, tables):
     assert {v for v, kept in zip(got.vec_id, got.kept) if kept} == set(linked(range(len(x)), near))
 
 
+@pytest.mark.parametrize("dims, common", [(64, 0.9), (384, 0.9), (40, 0.5)])
+def test_search_with_a_common_mean_is_brute_force(dims, common):
+    x = cone(4000, dims, common)
+    mean, projection = fit_rotation(x, rounds=5)
+    code, ids = encode(x, mean, projection), np.arange(len(x))
+    index, least = vector_search.MultiIndex(code), vector_search.least_apart(x, mean, projection)
+    for q in range(0, 4000, 100):
+        score = x @ x[q]
+        score[q] = -2
+        rows, _ = vector_search.search_shard(index, ids, ids, x, code[q], q, x[q], least[q], 5)
+        assert rows.tolist() == np.argsort(-score)[:5].tolist()
+
+
+def test_search_stops_early_where_it_may():
+    x = cone(4000, 64, 0.0)
+    x[1:7] = x[0]
+    mean, projection = fit_rotation(x, rounds=5)
+    code, met = encode(x, mean, projection), []
+
+    class Counted(vector_search.MultiIndex):
+        def probe(self, *at):
+            met.append(at)
+            return super().probe(*at)
+    rows, _ = vector_search.search_shard(Counted(code), np.arange(4000), np.arange(4000), x, code[0], 0, x[0], vector_search.least_apart(x[:1], mean, projection)[0], 5)
+    assert rows.tolist() == [1, 2, 3, 4, 5] and len(met) == 1
+
+
 def test_licenses_in_running_text(spark, empty):
     text = license_scan.TEMPLATES["mit-text"]
     words = text.split()
