@@ -348,6 +348,24 @@ def test_chat_views_of_odd_rows(spark):
         assert all(whole[r.mask_start:r.mask_stop] == (r.segment.split("\n", 1)[1] if r.role == "assistant" else "") for r in view.itertuples())
 
 
+def test_chat_blocks_split_a_single_turn(spark):
+    rows = [(None, 3, f"s{i % 2}", f"text {i}") for i in range(2000)] + [(None, 3, "s0", "same")] * 2000 + [(1, None, "s0", "x")] * 3 + [(1, None, "s1", f"y{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny partitions stay apart
+    try:
+        groups = chat_views.blocked(df).groupBy("conv_id", "block").count().toPandas()
+        got = chat_views.perspectives(df)
+        names = got.columns
+        got = sorted(map(str, map(tuple, got.collect())))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert groups["count"].sum() == 2002 + 501 and groups["count"].max() <= 1000
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.execute(SQL["op9_chat_views"])
+    assert [c[0] for c in want.description] == names and got == sorted(map(str, want.fetchall()))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     path = "/root/testdata/sf0.01"
