@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rebaja.llm import bpe_transducer, chat_views, license_scan, near_vectors, packing, pii, simhash, token_files, toxicity, vector_search
+from rebaja.llm import bpe_transducer, chat_views, filter_audit, license_scan, near_vectors, packing, pii, prefix_trie, simhash, source_mix, token_files, toxicity, vector_search
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -50,5 +50,18 @@ def op10_vector_search(spark: SparkSession, path: str) -> DataFrame:
     return vector_search.nearest(_table(spark, path, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_near_vectors, op4_license_scan, op5_token_files, op6_toxicity, op7_bpe_transducer, op8_simhash, op9_chat_views, op10_vector_search)}
-SQL = {"op1_pii": pii.SQL, "op4_license_scan": license_scan.SQL, "op9_chat_views": chat_views.SQL}
+def op11_source_mix(spark: SparkSession, path: str) -> DataFrame:
+    return source_mix.mix_digest(_table(spark, path, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, path: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, path, "documents"), _table(spark, path, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, path: str) -> DataFrame:
+    return prefix_trie.trie_digest(_table(spark, path, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_near_vectors, op4_license_scan, op5_token_files, op6_toxicity, op7_bpe_transducer, op8_simhash, op9_chat_views, op10_vector_search, op11_source_mix, op12_filter_audit,
+                                op13_prefix_trie)}
+SQL = {"op1_pii": pii.SQL, "op4_license_scan": license_scan.SQL, "op9_chat_views": chat_views.SQL, "op12_filter_audit": filter_audit.SQL, "op13_prefix_trie": prefix_trie.SQL}
