@@ -1,33 +1,50 @@
-"""Training and scoring with pyspark.ml."""
+"""Training and scoring with pyspark.ml, a pair of models per brand."""
 from __future__ import annotations
 
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from rebaja import constants as C
 from rebaja.functions import columns as X
 from rebaja.operators import parent as R
+from rebaja.operators.ordering import places, running
+from rebaja.session import materialise
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Size of the boosted models; ``subsample`` and ``max_bins`` bound memory."""
+    """Size of a boosted model. It stops before ``rounds`` when a round betters the loss of the validation rows by less than ``tolerance`` of it.
 
-    rounds: int = 30
-    depth: int = 5
+    ``subsample`` (rows), ``features`` (columns of a node) and ``max_bins`` bound the work of a round.
+    """
+
+    rounds: int = 300
+    depth: int = 6
+    step: float = 0.05
     subsample: float = 0.8
+    features: str = "0.8"
     max_bins: int = 64
+    tolerance: float = 0.01
     seed: int = 42
 
 
+CLASSIFIER = Settings()
+REGRESSOR = Settings(rounds=500, depth=7, step=0.03, features="0.7")
+#: Weeks before the newest of a brand's training weeks that judge each round.
+VALIDATION_WEEKS = 8
+#: Fits of brands that run side by side; Spark shares the cores among them.
+PARALLEL = 4
+
+
 def choose_targets(df: DataFrame, min_rows: int = 100) -> tuple[str, str, str]:
     """(mode, class target, depth target): margin targets where enough rows have them."""
     if "should_reprice" in df.columns and df.agg(F.count("should_reprice")).first()[0] > min_rows:
@@ -81,7 +98,7 @@ def time_series_folds(df: DataFrame, n: int = 4) -> DataFrame:
 
 
 def holdout_split(df: DataFrame, weeks: int = C.HOLDOUT_WEEKS) -> DataFrame:
-    """Adds ``is_holdout``: the last weeks of a brand, if it has more than twice as many."""
+    """Adds ``is_holdout``: the last weeks of a brand, if it has more than ``weeks + 4`` of them."""
     ranked = R.ranked_weeks(df)
     size = ranked.groupBy("brand").agg(F.count(F.lit(1)).alias("_n"))
     cut = ranked.join(F.broadcast(size), "brand").where(F.col("_n") > weeks + 4).where(F.col("newest") == weeks).select(
@@ -89,26 +106,111 @@ def holdout_split(df: DataFrame, weeks: int = C.HOLDOUT_WEEKS) -> DataFrame:
     return df.join(F.broadcast(cut), "brand", "left").withColumn("is_holdout", X.true(F.col("week") >= F.col("_cut"))).drop("_cut")
 
 
-def train_classifier(df: DataFrame, target: str, settings: Settings = Settings(), estimator=None) -> PipelineModel:
-    """Boosted trees with the positive class weighted by (1-p)/p."""
+def with_validation(df: DataFrame, weeks: int = VALIDATION_WEEKS) -> DataFrame:
+    """Adds ``is_validation``: the newest weeks of each brand, if it has more than twice as many; they judge the rounds and train nothing."""
+    ranked = R.ranked_weeks(df)
+    size = ranked.groupBy("brand").agg(F.count(F.lit(1)).alias("_n"))
+    late = ranked.join(F.broadcast(size), "brand").where((F.col("_n") > 2 * weeks) & (F.col("newest") <= weeks)).select("brand", "week", F.lit(True).alias("is_validation"))
+    return df.join(F.broadcast(late), ["brand", "week"], "left").fillna(False, ["is_validation"])
+
+
+def _boosting(kind, settings: Settings, early: bool, **more):
+    stop = {"validationIndicatorCol": "is_validation", "validationTol": settings.tolerance} if early else {}
+    return kind(maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.step, subsamplingRate=settings.subsample, featureSubsetStrategy=settings.features,
+                maxBins=settings.max_bins, seed=settings.seed, cacheNodeIds=True, **stop, **more)
+
+
+def train_classifier(df: DataFrame, target: str, settings: Settings = CLASSIFIER, estimator=None) -> PipelineModel:
+    """Boosted trees with the positive class weighted by (1-p)/p; with a column ``is_validation``, early stopping on its rows."""
     ready, stages, _ = prepare_matrix(df, target)
     p = ready.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.5
     weight = (1 - p) / p if p > 0 else 1.0
     ready = ready.withColumns({"label": F.col(target).cast("double"),
                                "weight": F.when(F.col(target) == 1, float(weight)).otherwise(1.0)})
-    model = estimator or GBTClassifier(
-        maxIter=settings.rounds, maxDepth=settings.depth, subsamplingRate=settings.subsample, maxBins=settings.max_bins,
-        seed=settings.seed, weightCol="weight")
-    return Pipeline(stages=[*stages, model]).fit(ready)
+    return _fit(ready, stages, estimator or _boosting(GBTClassifier, settings, _judged(ready), weightCol="weight"))
 
 
-def train_regressor(df: DataFrame, target: str, settings: Settings = Settings(), estimator=None) -> PipelineModel:
+def train_regressor(df: DataFrame, target: str, settings: Settings = REGRESSOR, estimator=None) -> PipelineModel:
+    """Boosted regression trees on the rows that have the target."""
     ready, stages, _ = prepare_matrix(df, target)
-    ready = ready.withColumn("label", F.col(target).cast("double"))
-    model = estimator or GBTRegressor(
-        maxIter=settings.rounds, maxDepth=settings.depth, subsamplingRate=settings.subsample, maxBins=settings.max_bins,
-        seed=settings.seed)
-    return Pipeline(stages=[*stages, model]).fit(ready)
+    return _fit(ready.withColumn("label", F.col(target).cast("double")), stages, estimator or _boosting(GBTRegressor, settings, _judged(ready)))
+
+
+def _judged(ready: DataFrame) -> bool:
+    """Whether there are rows on both sides of ``is_validation``."""
+    return "is_validation" in ready.columns and ready.select("is_validation").distinct().count() == 2
+
+
+def _fit(ready: DataFrame, stages: list, model) -> PipelineModel:
+    """Feature stages first; the model's many passes then read a written matrix of its few columns."""
+    prepared = Pipeline(stages=stages).fit(ready)
+    keep = [c for c in ("features", "label", "weight", "is_validation") if c in ready.columns or c == "features"]
+    matrix = materialise(prepared.transform(ready).select(*keep), "matrix").persist()
+    try:
+        return PipelineModel(prepared.stages + [model.fit(matrix)])
+    finally:
+        matrix.unpersist()
+
+
+@dataclass
+class BrandModels:
+    """Models of one brand and what they were trained for."""
+
+    brand: str
+    mode: str
+    class_target: str
+    depth_target: str
+    classifier: PipelineModel
+    regressor: PipelineModel
+
+    @property
+    def rounds(self) -> tuple[int, int]:
+        return self.classifier.stages[-1].getNumTrees, self.regressor.stages[-1].getNumTrees
+
+
+def depth_rows(df: DataFrame, mode: str) -> DataFrame:
+    """Rows that the depth model learns from: those with a margin target, else those that were marked down."""
+    return df if mode == "margin" else df.where("will_discount_4w = 1")
+
+
+def train_brands(df: DataFrame, classifier: Settings = CLASSIFIER, regressor: Settings = REGRESSOR, overrides: dict[str, dict] | None = None,
+                 models: tuple | None = None, weeks: int = VALIDATION_WEEKS) -> dict[str, BrandModels]:
+    """One classifier and one depth model per brand, each with the brand's own targets, class weight, categories and medians.
+
+    ``overrides`` maps a brand to changed settings. ``models`` gives other
+    estimators than boosting. Brands (a handful) are trained side by side by
+    threads that only submit Spark jobs; each fit is distributed over all rows
+    of its brand. A brand whose class target has one value only gets no
+    models, as does one without a depth target; see ``score_brands``.
+    """
+    rows = with_validation(df, weeks)
+    brands = [r.brand for r in df.select("brand").distinct().orderBy("brand").collect()]
+
+    def train(brand: str) -> BrandModels | None:
+        own = rows.where(F.col("brand") == brand)
+        mode, cls, reg = choose_targets(own)
+        trained = own.where("not is_validation").agg(F.count_if(F.col(cls) == 1), F.count_if(F.col(cls) == 0)).first()
+        if not all(trained) or depth_rows(own, mode).where(F.col(reg).isNotNull()).limit(1).count() == 0:
+            return None
+        change = (overrides or {}).get(brand, {})
+        one, two = replace(classifier, **change), replace(regressor, **change)
+        c, d = models or (None, None)
+        return BrandModels(brand, mode, cls, reg, train_classifier(own, cls, one, c and c.copy()), train_regressor(depth_rows(own, mode), reg, two, d and d.copy()))
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return {m.brand: m for m in pool.map(train, brands) if m}
+
+
+def score_brands(df: DataFrame, models: dict[str, BrandModels]) -> DataFrame:
+    """Every row scored by its brand's models: adds ``class_label``, ``depth_label`` (the brand's targets), ``markdown_probability`` and ``raw_depth``; rows of brands without models are left out."""
+    parts = [score_week(df.where(F.col("brand") == m.brand), m.classifier, m.regressor)
+             .withColumns({"class_label": F.col(m.class_target).cast("double"), "depth_label": F.col(m.depth_target).cast("double")}) for m in models.values()]
+    if not parts:
+        return df.where("false").withColumns({c: F.lit(None).cast("double") for c in ("markdown_probability", "raw_depth", "class_label", "depth_label")})
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _inputs(model: PipelineModel) -> list[str]:
@@ -149,17 +251,89 @@ def regression_metrics(scored: DataFrame, target: str, pred: str = "raw_depth",
         (1 - F.sum(err * err) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r2"))
 
 
+def ranking_metrics(scored: DataFrame, target: str, prob: str = "markdown_probability", by: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve and average precision: (by..., n, positives, auc, avg_precision).
+
+    Rows are counted per score first, so ties are one group; the counts above
+    a score are running sums over range partitions (``ordering.running``), no
+    window sees all scores. A pair of equal scores counts half. Without a row
+    of either class the area is null; without positives the precision is too.
+    """
+    by = by or []
+    rows = scored.where(F.col(target).isNotNull() & F.col(prob).isNotNull())
+    ties = rows.groupBy(*by, F.col(prob).cast("double").alias("_p")).agg(F.count_if(F.col(target) == 1).alias("_pos"), F.count_if(F.col(target) != 1).alias("_neg"))
+    keyed = materialise(ties.withColumn("_key", F.to_json(F.struct(*by)) if by else F.lit("")), "score-ties")
+    above = running(keyed, ["_key"], [F.desc("_p")], {"_tp": ("sum", "_pos"), "_fp": ("sum", "_neg")}, "score-ranks")
+    pos, neg = F.sum("_pos"), F.sum("_neg")
+    return above.groupBy(*by).agg(
+        (pos + neg).alias("n"), pos.alias("positives"),
+        (F.sum(F.col("_neg") * (F.col("_tp") - F.col("_pos") / 2)) / F.nullif(pos * neg, F.lit(0))).alias("auc"),
+        (F.sum(F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))) / F.nullif(pos, F.lit(0))).alias("avg_precision"))
+
+
 def auc(scored: DataFrame, target: str, prob: str = "markdown_probability") -> dict[str, float]:
-    df = scored.where(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("label"), F.col(prob).alias("rawPrediction"))
-    ev = BinaryClassificationEvaluator()
-    return {"auc": ev.evaluate(df), "avg_precision": ev.evaluate(df, {ev.metricName: "areaUnderPR"})}
+    """Both figures of ``ranking_metrics`` over all rows."""
+    return ranking_metrics(scored, target, prob).select("auc", "avg_precision").first().asDict()
+
+
+def feature_importance(models: dict[str, BrandModels], spark, top: int | None = None) -> DataFrame:
+    """Impurity importance of the classifier of each brand: (brand, feature, importance), the ``top`` of a brand or all."""
+    rows = []
+    for m in models.values():
+        names = m.classifier.stages[-2].getInputCols()
+        of = sorted(zip(names, m.classifier.stages[-1].featureImportances.toArray()), key=lambda r: (-r[1], r[0]))
+        rows += [(m.brand, n, float(v)) for n, v in of[:top]]
+    return spark.createDataFrame(rows, "brand string, feature string, importance double")
+
 
+def permutation_importance(df: DataFrame, models: dict[str, BrandModels], seed: int = 42) -> DataFrame:
+    """How much the area under the ROC curve falls when one column is re-paired among the rows: (brand, feature, auc, importance).
 
-def feature_importance(model: PipelineModel, spark, top: int = 15) -> DataFrame:
-    """Impurity importance of the trees, largest first."""
-    tree, names = model.stages[-1], model.stages[-2].getInputCols()
-    rows = [(n, float(v)) for n, v in zip(names, tree.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
+    Rows of a brand get places in a random but seeded order; each row takes
+    the column from the row half a table further, by a join on places. All
+    columns are scored in one pass: a row becomes one row per column, with the
+    column's number and its missing flag exchanged together. Meant for held-out rows.
+    """
+    out = []
+    for m in models.values():
+        own = materialise(df.where((F.col("brand") == m.brand) & F.col(m.class_target).isNotNull()), "permuted")
+        n = own.count()
+        if not n:
+            continue
+        ready = PipelineModel(m.classifier.stages[:-1]).transform(_as_doubles(own, _inputs(m.classifier)))
+        rows = materialise(ready.select(F.col(m.class_target).alias("label"), vector_to_array("features").alias("x"), F.xxhash64(F.lit(seed), *[F.col(c) for c in R.KEYS]).alias("tie")), "permuted")
+        ranked = materialise(places(rows, ["tie", "x"], "place", "permuted"), "permuted")
+        donor = ranked.select((F.pmod(F.col("place") - 1 + n // 2, F.lit(n)) + 1).alias("place"), F.col("x").alias("other"))
+        names = m.classifier.stages[-2].getInputCols()
+        slots: dict[str, list[int]] = {}
+        for i, name in enumerate(names):
+            slots.setdefault(name.removesuffix("__missing").removesuffix("__f").removesuffix("__ix"), []).append(i)
+        columns = F.array(F.struct(F.lit("").alias("feature"), F.array().cast("array<int>").alias("at")),
+                          *[F.struct(F.lit(k).alias("feature"), F.array(*map(F.lit, v)).alias("at")) for k, v in slots.items()])
+        pairs = ranked.join(donor, "place").withColumn("c", F.explode(columns))
+        mixed = pairs.select("label", F.col("c.feature").alias("feature"), array_to_vector(
+            F.transform("x", lambda v, i: F.when(F.array_contains("c.at", i), F.get("other", i)).otherwise(v))).alias("features"))
+        scored = m.classifier.stages[-1].transform(mixed).select("feature", "label", vector_to_array("probability")[1].alias("p"))
+        out.append(ranking_metrics(scored, "label", "p", ["feature"]).withColumn("brand", F.lit(m.brand)))
+    if not out:
+        return df.sparkSession.createDataFrame([], "brand string, feature string, auc double, importance double")
+    every = out[0]
+    for part in out[1:]:
+        every = every.unionByName(part)
+    every = materialise(every, "permuted")
+    base = every.where("feature = ''").select("brand", F.col("auc").alias("_base"))
+    return every.where("feature <> ''").join(F.broadcast(base), "brand").select("brand", "feature", "auc", (F.col("_base") - F.col("auc")).alias("importance"))
+
+
+def model_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Metrics of scored rows (``score_brands``) per group, long: (by..., task, metric, value)."""
+    rank = ranking_metrics(scored, "class_label", by=by)
+    flat = classification_metrics(scored, "class_label", by=by)
+    fit = regression_metrics(scored.where("depth_label IS NOT NULL"), "depth_label", by=by)
+
+    def long(df: DataFrame, task: str, names: list[str]) -> DataFrame:
+        return df.select(*by, F.lit(task).alias("task"), F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])))
+    return long(rank, "classifier", ["auc", "avg_precision"]).unionByName(long(flat, "classifier", ["precision", "recall", "f1"])).unionByName(long(fit, "regressor", ["mae", "rmse", "r2"]))
 
 
 def store_profiles(parent: DataFrame) -> DataFrame:
@@ -171,47 +345,40 @@ def store_profiles(parent: DataFrame) -> DataFrame:
         F.coalesce(F.avg("stock_on_hand"), F.lit(0.0)).alias("avg_stock"), F.coalesce(F.avg("weeks_of_cover"), F.lit(0.0)).alias("avg_woc"))
 
 
-def store_clusters(profiles: DataFrame, k: int = 3, seed: int = 42) -> tuple[DataFrame, float]:
-    """k-means of scaled profiles, with the silhouette."""
+def store_clusters(profiles: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
+    """k-means of scaled profiles: adds ``cluster`` and the ``silhouette`` of the whole clustering."""
     inputs = [c for c in profiles.columns if c != "centro"]
     stages = [VectorAssembler(inputCols=inputs, outputCol="_v"),
               StandardScaler(inputCol="_v", outputCol="features", withMean=True), KMeans(k=k, seed=seed, predictionCol="cluster")]
     out = Pipeline(stages=stages).fit(profiles).transform(profiles)
     quality = ClusteringEvaluator(predictionCol="cluster").evaluate(out)
-    return out.drop("_v", "features"), quality
+    return out.drop("_v", "features").withColumn("silhouette", F.lit(float(quality)))
 
 
-def compare_models(df: DataFrame, class_target: str, depth_target: str, settings: Settings = Settings()) -> DataFrame:
-    """Boosting, forest and linear models on one holdout: (model, task, metric, value)."""
+def compare_models(df: DataFrame, classifier: Settings = CLASSIFIER, regressor: Settings = REGRESSOR) -> DataFrame:
+    """Boosting, forest and linear models of each brand on its last weeks: (brand, model, task, metric, value)."""
     split = holdout_split(df)
     train, test = split.where("not is_holdout").drop("is_holdout"), split.where("is_holdout").drop("is_holdout")
-    deep = {"maxDepth": settings.depth, "seed": settings.seed, "maxBins": settings.max_bins}
-    models = {
-        "boosting": (None, None),
-        "forest": (RandomForestClassifier(numTrees=settings.rounds, weightCol="weight", **deep),
-                   RandomForestRegressor(numTrees=settings.rounds, **deep)),
-        "linear": (LogisticRegression(regParam=0.01, weightCol="weight"), LinearRegression(regParam=0.01)),
-    }
-    rows = []
-    for name, (cls, reg) in models.items():
-        scored = score_week(test, train_classifier(train, class_target, settings, cls), train_regressor(train, depth_target, settings, reg))
-        for metric, value in auc(scored, class_target).items():
-            rows.append((name, "classifier", metric, float(value)))
-        fit = regression_metrics(scored, depth_target).first().asDict()
-        rows += [(name, "regressor", m, fit[m]) for m in ("mae", "rmse", "r2")]
-    return df.sparkSession.createDataFrame(rows, "model string, task string, metric string, value double")
-
-
-def cross_validate(df: DataFrame, class_target: str, depth_target: str, n: int = 4, settings: Settings = Settings()) -> DataFrame:
-    """Metrics of each expanding fold: (fold, metric, value)."""
-    folds, rows = time_series_folds(df, n), []
+
+    def forest(kind, s: Settings, **more):
+        return kind(numTrees=s.rounds, maxDepth=s.depth, maxBins=s.max_bins, subsamplingRate=s.subsample, seed=s.seed, cacheNodeIds=True, **more)
+
+    kinds = {"boosting": None,
+             "forest": (forest(RandomForestClassifier, classifier, weightCol="weight"), forest(RandomForestRegressor, regressor)),
+             "linear": (LogisticRegression(regParam=0.01, weightCol="weight"), LinearRegression(regParam=0.01))}
+    scored = None
+    for name, models in kinds.items():
+        part = score_brands(test, train_brands(train, classifier, regressor, models=models)).select("brand", "class_label", "depth_label", "markdown_probability", "raw_depth", F.lit(name).alias("model"))
+        scored = part if scored is None else scored.unionByName(part)
+    return model_metrics(materialise(scored, "compared"), ["brand", "model"])
+
+
+def cross_validate(df: DataFrame, n: int = 2, classifier: Settings = CLASSIFIER, regressor: Settings = REGRESSOR) -> DataFrame:
+    """Metrics of expanding folds per brand: (brand, fold, task, metric, value). One aggregate over the scored rows of all folds."""
+    folds, scored = time_series_folds(df, n), None
     for fold in range(n):
         part = df.join(F.broadcast(folds.where(F.col("fold") == fold)), ["brand", "week"]).drop("fold")
         train, test = (part.where(F.col("role") == r).drop("role") for r in ("train", "validate"))
-        scored = score_week(test, train_classifier(train, class_target, settings), train_regressor(train, depth_target, settings))
-        values = {**auc(scored, class_target), **regression_metrics(scored, depth_target).first().asDict()}
-        values.update(classification_metrics(scored, class_target).first().asDict())
-        rows += [(fold, m, float(v)) for m, v in values.items() if m != "n" and v is not None]
-    return df.sparkSession.createDataFrame(rows, "fold int, metric string, value double")
-
-
+        one = score_brands(test, train_brands(train, classifier, regressor)).select("brand", "class_label", "depth_label", "markdown_probability", "raw_depth", F.lit(fold).alias("fold"))
+        scored = one if scored is None else scored.unionByName(one)
+    return model_metrics(materialise(scored, "folds"), ["brand", "fold"])

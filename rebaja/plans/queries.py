@@ -1441,24 +1441,45 @@ def _(r):
     return ML.store_profiles(r.parent)
 
 
-@query("store_clusters")
+@query("ranking_metrics", """
+SELECT brand, sum(pos + neg) AS n, sum(pos) AS positives, sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) AS auc, sum(pos * tp / (tp + fp)) / sum(pos) AS avg_precision FROM (
+SELECT *, sum(pos) OVER b AS tp, sum(neg) OVER b AS fp FROM (
+SELECT brand, markdown_probability AS p, CAST(count(*) FILTER (will_discount_4w = 1) AS DOUBLE) AS pos, CAST(count(*) FILTER (will_discount_4w <> 1) AS DOUBLE) AS neg
+FROM scored WHERE will_discount_4w IS NOT NULL GROUP BY ALL) WINDOW b AS (PARTITION BY brand ORDER BY p DESC)) GROUP BY brand""")
 def _(r):
-    return ML.store_clusters(ML.store_profiles(r.parent), 2)[0]
+    return ML.ranking_metrics(A.formula_scores(r.parent), "will_discount_4w", by=["brand"])
 
 
-_SMALL = ML.Settings(rounds=5, depth=4, max_bins=32)
+@query("store_clusters")
+def _(r):
+    return ML.store_clusters(ML.store_profiles(r.parent))
 
 
 @query("model_scores")
 def _(r):
-    _, cls, reg = ML.choose_targets(r.parent)
-    split = ML.holdout_split(r.parent)
-    train, test = split.where("not is_holdout").drop("is_holdout"), split.where("is_holdout").drop("is_holdout")
-    scored = ML.score_week(test, ML.train_classifier(train, cls, _SMALL), ML.train_regressor(train, reg, _SMALL))
-    return scored.select(*R.KEYS, cls, reg, "markdown_probability", "raw_depth")
+    return r.holdout_scores.select(*R.KEYS, "class_label", "depth_label", "markdown_probability", "raw_depth")
+
+
+@query("model_metrics")
+def _(r):
+    return ML.model_metrics(r.holdout_scores, ["brand"])
+
+
+@query("model_folds")
+def _(r):
+    return ML.cross_validate(r.parent)
+
+
+@query("model_comparison")
+def _(r):
+    return ML.compare_models(r.parent)
 
 
 @query("feature_importance")
 def _(r):
-    _, cls, _ = ML.choose_targets(r.parent)
-    return ML.feature_importance(ML.train_classifier(r.parent, cls, _SMALL), r.t.spark)
+    return ML.feature_importance(r.models, r.t.spark)
+
+
+@query("permutation_importance")
+def _(r):
+    return ML.permutation_importance(r.split.where("is_holdout").drop("is_holdout"), r.models)

@@ -592,13 +592,18 @@ RESULT_TYPES: dict[str, str] = {
     ),
     "store_clusters": (
         "centro:string avg_velocity:double std_velocity:double avg_discount:double avg_price:double n_skus:bigint "
-        "pct_discounted:double avg_stock:double avg_woc:double cluster:bigint"
+        "pct_discounted:double avg_stock:double avg_woc:double cluster:bigint silhouette:double"
     ),
     "model_scores": (
-        "brand:string codigo_padre:string centro:string week:date should_reprice:double optimal_disc_margin:double "
+        "brand:string codigo_padre:string centro:string week:date class_label:double depth_label:double "
         "markdown_probability:double raw_depth:double"
     ),
-    "feature_importance": "feature:string importance:double",
+    "feature_importance": "brand:string feature:string importance:double",
+    "permutation_importance": "brand:string feature:string auc:double importance:double",
+    "ranking_metrics": "brand:string n:bigint positives:bigint auc:double avg_precision:double",
+    "model_metrics": "brand:string task:string metric:string value:double",
+    "model_folds": "brand:string fold:int task:string metric:string value:double",
+    "model_comparison": "brand:string model:string task:string metric:string value:double",
     "stream_weekly_sales": (
         "brand:string sku:string centro:string week:date units_sold:bigint gross_revenue:double "
         "click_collect_units:bigint"

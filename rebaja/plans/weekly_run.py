@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from rebaja.operators import channel as CH, elasticity as E, enhance as H, lifecycle as L, outcomes as O
+from rebaja.operators import channel as CH, elasticity as E, enhance as H, lifecycle as L, models as ML, outcomes as O
 from rebaja.operators import parent as R, pricing as A, signals as S, sizes as Z, weekly as W
 from rebaja.plans.child import ChildInputs, build_child_features
 from rebaja.session import materialise
@@ -116,3 +116,16 @@ class WeeklyRun:
     def outcomes(self) -> DataFrame:
         decided = O.fixture_decisions(self.history)
         return materialise(O.outcomes(self.history, decided, self.t.transactions, self.t.products, self.t.costs), "outcomes")
+
+    @cached_property
+    def split(self) -> DataFrame:
+        return materialise(ML.holdout_split(self.parent), "split")
+
+    @cached_property
+    def models(self) -> dict[str, ML.BrandModels]:
+        """Models of every brand, trained on the weeks before its holdout."""
+        return ML.train_brands(self.split.where("not is_holdout").drop("is_holdout"))
+
+    @cached_property
+    def holdout_scores(self) -> DataFrame:
+        return materialise(ML.score_brands(self.split.where("is_holdout").drop("is_holdout"), self.models), "holdout_scores")

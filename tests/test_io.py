@@ -164,7 +164,7 @@ def test_models(spark, run):
     assert scored.count() == test.count() and set(test.columns) < set(scored.columns)
     assert scored.where("not (markdown_probability between 0 and 1) or not (raw_depth between 0 and 0.6)").count() == 0
     assert ML.auc(ML.score_week(train, c, g), cls)["auc"] > 0.6
-    top = ML.feature_importance(c, spark, 5).collect()
+    top = ML.feature_importance({"SUR": ML.BrandModels("SUR", mode, cls, reg, c, g)}, spark, 5).collect()
     assert len(top) == 5 and top[0].importance >= top[-1].importance
     assert not {"should_reprice", "optimal_profit"} & {r.feature.split("__")[0] for r in top}
     folds = ML.time_series_folds(df).groupBy("fold", "role").agg(F.max("week").alias("hi"), F.min("week").alias("lo")).collect()
