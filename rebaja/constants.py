@@ -51,7 +51,6 @@ SPRING_SUMMER_MONTHS = [9, 10, 11, 12, 1, 2]
 # Decision statuses.
 IMPLEMENTED_STATUSES = ["approved", "bm_approved", "manual", "bm_manual", "planner_approved"]
 BM_STATUSES = ["bm_approved", "bm_rejected", "bm_manual", "approved", "rejected", "manual"]
-PLANNER_STATUSES = ["planner_approved", "planner_rejected"]
 EXPORT_STATUSES = ["approved", "manual", "planner_approved"]
 
 # Sort rank of an urgency label.

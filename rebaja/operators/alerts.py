@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rebaja.functions import columns as X
-from rebaja.operators import weekly
+from rebaja.operators import lookups, weekly
 
 PARENT = ["brand", "codigo_padre"]
 
@@ -61,19 +61,17 @@ def alert_reason_counts(alerts: DataFrame) -> DataFrame:
 
 
 def cross_store_view(alerts: DataFrame, actions: DataFrame, stores: DataFrame, min_spread: float = 0.0,
-                     limit: int = 50) -> DataFrame:
-    """Alerted parents with their stores nested, widest price spread first."""
+                     limit: int | None = 50) -> DataFrame:
+    """The ``limit`` alerted parents of each brand with the widest price spread (None: all), their stores nested after the cut."""
     names = actions.groupBy("brand", F.col("parent_sku").alias("codigo_padre")).agg(F.min("product").alias("product"))
     shops = stores.groupBy("centro").agg(F.min(X.store_name("sucursal")).alias("store_name"))
     shop = F.struct(
         F.col("centro").alias("store"), F.coalesce("store_name", "centro").alias("store_name"), "channel",
         F.col("avg_precio_final").cast("long").alias("price"), X.half_even("discount_rate", 3).alias("discount_rate"),
         F.col("stock_on_hand").cast("long").alias("stock_on_hand"), X.half_even("velocity_4w", 1).alias("velocity_4w"))
-    top = (
-        alerts.where(F.col("price_spread") >= min_spread).join(shops, "centro", "left").groupBy(*PARENT)
-        .agg(F.max("n_stores").alias("n_stores"), X.half_even(F.max("price_spread"), 3).alias("price_spread"),
-             X.half_even(F.max("discount_spread"), 3).alias("discount_spread"), F.max("sync_price").cast("long").alias("sync_price"),
-             F.max("alert_reasons").alias("alert_reasons"), F.array_sort(F.collect_list(shop)).alias("stores"))
-        .orderBy(F.desc("price_spread"), *PARENT).limit(limit)
-    )
-    return top.join(names, PARENT, "left").withColumnRenamed("codigo_padre", "parent_sku")
+    parents = alerts.where(F.col("price_spread") >= min_spread).groupBy(*PARENT).agg(
+        F.max("n_stores").alias("n_stores"), F.max("price_spread").alias("_spread"), X.half_even(F.max("discount_spread"), 3).alias("discount_spread"),
+        F.max("sync_price").cast("long").alias("sync_price"), F.max("alert_reasons").alias("alert_reasons"))
+    top = lookups.top_per(parents, "brand", [F.desc("_spread"), "codigo_padre"], limit).withColumn("price_spread", X.half_even("_spread", 3)).drop("_spread")
+    nested = alerts.join(top.select(*PARENT), PARENT, "left_semi").join(shops, "centro", "left").groupBy(*PARENT).agg(F.array_sort(F.collect_list(shop)).alias("stores"))
+    return top.join(nested, PARENT).join(names, PARENT, "left").withColumnRenamed("codigo_padre", "parent_sku")

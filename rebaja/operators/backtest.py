@@ -27,14 +27,14 @@ def first_markdown_dataset(features: DataFrame) -> DataFrame:
     )
 
 
-def walk_forward_metrics(scored: DataFrame, test_start: str, top_k: int = 50) -> DataFrame:
-    """Per week: precision and recall of the top K, depth error, separation and revenue at risk.
+def walk_forward_metrics(scored: DataFrame, test_start: str | None = None, top_k: int = 50) -> DataFrame:
+    """Per week from ``test_start`` on (None: all): precision and recall of the top K, depth error, separation and revenue at risk.
 
     Ranks are taken within 32 slices of a week first and then among the at most
     32 x K survivors, so no task sorts a whole week.
     """
     c = F.col
-    df = scored.where(c("week") >= F.lit(test_start).cast("date"))
+    df = scored if test_start is None else scored.where(c("week") >= F.lit(test_start).cast("date"))
     order = [F.desc("markdown_probability"), "sku", "centro"]
     part = Window.partitionBy("brand", "week", F.pmod(F.xxhash64("sku", "centro"), F.lit(32)))
     short = df.withColumn("_rn", F.row_number().over(part.orderBy(*order))).where(c("_rn") <= top_k)

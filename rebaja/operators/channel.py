@@ -120,7 +120,7 @@ def channel_actions(rows: DataFrame, actions: DataFrame, costs: DataFrame, elast
     return df.withColumns({
         "chain_uniform_profit": profit, "sum_per_store_profit": F.coalesce("sum_per_store_profit", F.lit(0.0)),
     }).select(
-        "brand", "week", c("codigo_padre").alias("parent_sku"), "channel", F.substring(F.coalesce("product", "codigo_padre"), 1, 50).alias("product"),
+        "brand", "week", c("codigo_padre").alias("parent_sku"), "channel", F.coalesce("product", "codigo_padre").alias("product"),
         "category", "subcategory", X.vendor_brand("codigo_padre", "brand").alias("vendor_brand"), "n_stores", "stores_in_channel",
         c("stock").isNotNull().alias("has_stock_data"), c("stock").cast("long").alias("channel_stock"),
         c("list_price").cast("long").alias("current_list_price"), c("_now").alias("current_price"),

@@ -121,8 +121,10 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").partitionBy("brand").json(path)
 
 
-def load_audit(audit: DataFrame, brand: str, limit: int = 100) -> DataFrame:
-    return audit.where(F.col("brand") == brand).orderBy(F.desc("timestamp"), "key", "action").limit(limit)
+def load_audit(audit: DataFrame, brand: str, limit: int | None = 100) -> DataFrame:
+    """Newest events of a brand first; ``None``: all."""
+    events = audit.where(F.col("brand") == brand).orderBy(F.desc("timestamp"), "key", "action")
+    return events if limit is None else events.limit(limit)
 
 
 def load_feedback(log: DataFrame, week: str | None = None) -> DataFrame:

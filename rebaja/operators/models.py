@@ -43,6 +43,7 @@ REGRESSOR = Settings(rounds=500, depth=7, step=0.03, features="0.7")
 VALIDATION_WEEKS = 8
 #: Fits of brands that run side by side; Spark shares the cores among them.
 PARALLEL = 4
+PERCENT = 100.0
 
 
 def choose_targets(df: DataFrame, min_rows: int = 100) -> tuple[str, str, str]:
@@ -131,9 +132,9 @@ def train_classifier(df: DataFrame, target: str, settings: Settings = CLASSIFIER
 
 
 def train_regressor(df: DataFrame, target: str, settings: Settings = REGRESSOR, estimator=None) -> PipelineModel:
-    """Boosted regression trees on the rows that have the target."""
+    """Boosted regression trees on the rows that have the target, which is learnt in percent: early stopping measures gains against a floor of 0.01 that shares of one would never pass."""
     ready, stages, _ = prepare_matrix(df, target)
-    return _fit(ready.withColumn("label", F.col(target).cast("double")), stages, estimator or _boosting(GBTRegressor, settings, _judged(ready)))
+    return _fit(ready.withColumn("label", PERCENT * F.col(target).cast("double")), stages, estimator or _boosting(GBTRegressor, settings, _judged(ready)))
 
 
 def _judged(ready: DataFrame) -> bool:
@@ -227,7 +228,7 @@ def score_week(df: DataFrame, classifier: PipelineModel, regressor: PipelineMode
     one = one.select("_row", vector_to_array("probability")[1].alias("_p"))
     two = regressor.transform(_as_doubles(one.select("_row", "_p", "_row.*"), _inputs(regressor))).drop(*drop[:3])
     return two.select("_row.*", F.col("_p").alias("markdown_probability"),
-                      X.clip(F.col("prediction"), low=0.0, high=0.60).alias("raw_depth"))
+                      X.clip(F.col("prediction") / PERCENT, low=0.0, high=0.60).alias("raw_depth"))
 
 
 def classification_metrics(scored: DataFrame, target: str, prob: str = "markdown_probability",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rebaja import constants as C
 from rebaja.functions import columns as X, pricing as P
 from rebaja.operators import lookups, parent as R, signals
+from rebaja.operators.ordering import running
 
 KEYS = ["brand", "parent_sku", "store"]
 
@@ -183,7 +184,7 @@ def _action_columns(rows: DataFrame, recommended: Column, urgency: Column, reaso
     c = F.col
     return rows.select(
         "brand", "week", c("codigo_padre").alias("parent_sku"), c("centro").alias("store"), "store_name",
-        F.substring(F.coalesce("product_name", "codigo_padre"), 1, 50).alias("product"),
+        F.coalesce("product_name", "codigo_padre").alias("product"),
         c("primera_jerarquia").alias("category"), c("segunda_jerarquia").alias("subcategory"),
         c("n_sell").alias("sizes_selling"), c("total_sizes_catalog").alias("sizes_total"),
         c("product_age_weeks").cast("long").alias("product_age_weeks"), c("stock_on_hand").cast("long").alias("stock_on_hand"),
@@ -302,8 +303,8 @@ def _tie(df: DataFrame) -> list[str]:
     return [k for k in ("brand", "parent_sku", "store", "channel") if k in df.columns]
 
 
-def order_actions(actions: DataFrame, by: str = "urgency") -> DataFrame:
-    """Sort variants of the action list; ties by key."""
+def sort_columns(df: DataFrame, by: str) -> list[str | Column]:
+    """The order of a sort name; ties by key."""
     keys = {
         "urgency": lambda: [urgency_rank(), F.desc("rev_delta")],
         "revenue": lambda: [F.desc(F.abs("rev_delta"))],
@@ -313,7 +314,17 @@ def order_actions(actions: DataFrame, by: str = "urgency") -> DataFrame:
         "discount": lambda: [F.desc(X.parse_pct("recommended_discount"))],
         "age": lambda: [F.desc("product_age_weeks")],
     }
-    return actions.orderBy(*keys[by](), *_tie(actions))
+    return [*keys[by](), *_tie(df)]
+
+
+def order_actions(actions: DataFrame, by: str = "urgency") -> DataFrame:
+    """Sort variants of the action list."""
+    return actions.orderBy(*sort_columns(actions, by))
+
+
+def placed_actions(actions: DataFrame, by: str = "urgency") -> DataFrame:
+    """All actions with their ``place`` in the sorted list of their brand: counts before each range of the order, so no task sorts a brand."""
+    return running(actions.withColumn("_one", F.lit(1).cast("long")), ["brand"], sort_columns(actions, by), {"place": ("sum", "_one")}, "placed").drop("_one")
 
 
 def page(actions: DataFrame, number: int, size: int = 50, by: str = "urgency") -> DataFrame:
@@ -321,11 +332,16 @@ def page(actions: DataFrame, number: int, size: int = 50, by: str = "urgency") -
     return order_actions(actions, by).offset((number - 1) * size).limit(size)
 
 
+def page_by_place(placed: DataFrame, number: int, size: int = 50) -> DataFrame:
+    """One page of each brand's list from a written ``placed_actions``: a filter, whatever the page."""
+    return placed.where((F.col("place") > (number - 1) * size) & (F.col("place") <= number * size))
+
+
 def filter_actions(actions: DataFrame, decisions: DataFrame | None = None, *, store: str | None = None,
                    vendor: str | None = None, urgency: str | None = None, subcategory: str | None = None,
                    category: str | None = None, status: str | None = None, search: str | None = None,
                    skus: list[str] | None = None, channel: str | None = None) -> DataFrame:
-    """Rows that match every given criterion; ``decisions``: brand, key, status."""
+    """Rows that match every given criterion; ``decisions``: brand, week, key, status."""
     df, c = actions, F.col
     up = c("action_type") == "increase"
     if store is not None:
@@ -347,15 +363,15 @@ def filter_actions(actions: DataFrame, decisions: DataFrame | None = None, *, st
         df = df.where(F.lower("parent_sku").contains(search.lower()) | F.lower("product").contains(search.lower()))
     if status is not None and decisions is not None:
         place = "channel" if "channel" in df.columns else "store"
-        known = decisions.select("brand", F.col("key").alias("_key"), F.col("status").alias("_status"))
-        df = (df.withColumn("_key", F.concat_ws("-", "parent_sku", place)).join(known, ["brand", "_key"], "left")
+        known = decisions.select("brand", "week", F.col("key").alias("_key"), F.col("status").alias("_status"))
+        df = (df.withColumn("_key", F.concat_ws("-", "parent_sku", place)).join(known, ["brand", "week", "_key"], "left")
               .where(F.coalesce("_status", F.lit("pending")) == status).drop("_key", "_status"))
     return df
 
 
 def recommendations(scored: DataFrame, products: DataFrame, weeks: DataFrame, min_confidence: str = "low",
-                    top_n: int = 100) -> DataFrame:
-    """Child-level list of a week: probability cut, confidence band, priority, top N per brand and week."""
+                    top_n: int | None = 100) -> DataFrame:
+    """Child-level list of a week: probability cut, confidence band, priority, top N per brand and week (None: all)."""
     p, cuts = F.col("markdown_probability"), C.RECOMMEND_CUTS
     band = F.when(p > cuts["high"], "high").when(p > cuts["medium"], "medium").when(p > cuts["low"], "low").otherwise("skip")
     attrs = lookups.product_attributes(products, ["material_descripcion", "talla"])
@@ -370,10 +386,10 @@ def recommendations(scored: DataFrame, products: DataFrame, weeks: DataFrame, mi
     # rank inside 16 slices first, so that no task sorts a whole brand-week
     order = [F.desc("priority_score"), "sku", "centro"]
     part = Window.partitionBy("brand", "week", F.pmod(F.xxhash64("sku", "centro"), F.lit(16)))
-    short = df.withColumn("_rn", F.row_number().over(part.orderBy(*order))).where(F.col("_rn") <= top_n)
+    short = df if top_n is None else df.withColumn("_rn", F.row_number().over(part.orderBy(*order))).where(F.col("_rn") <= top_n)
     rank = F.row_number().over(Window.partitionBy("brand", "week").orderBy(*order))
     return (
-        short.withColumn("rank", rank).where(F.col("rank") <= top_n).join(attrs, ["brand", "sku"], "left")
+        short.withColumn("rank", rank).where(F.lit(top_n is None) | (F.col("rank") <= (top_n or 0))).join(attrs, ["brand", "sku"], "left")
         .select("brand", "week", "rank", "sku", F.col("material_descripcion").alias("product_name"), "talla",
                 F.col("centro").alias("store_code"), F.col("codigo_padre").alias("parent_sku"), "markdown_probability",
                 "confidence", F.col("raw_depth").alias("recommended_depth"), "priority_score",

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebaja import constants as C
 from rebaja.functions import columns as X
-from rebaja.operators import weekly
+from rebaja.operators import lookups, weekly
 
 SERIES = ["brand", "codigo_padre", "centro"]
 INFO = ["codigo_padre", "talla", "primera_jerarquia"]
@@ -108,11 +108,11 @@ def size_alerts(tracking: DataFrame, attrition: float = 0.3, core_lost: int = 2)
         "alert_reasons", F.concat(*[F.when(test, F.lit(name)).otherwise(F.lit("")) for test, name in tests]))
 
 
-def size_alert_view(alerts: DataFrame, min_attrition: float = 0.3, brand: str | None = None, limit: int = 30) -> DataFrame:
+def size_alert_view(alerts: DataFrame, min_attrition: float = 0.3, brand: str | None = None, limit: int | None = 30) -> DataFrame:
+    """The ``limit`` most depleted size runs of each brand; None: all."""
     df = alerts if brand is None else alerts.where(F.col("brand") == brand)
     return (
-        df.where(F.col("attrition_rate") >= min_attrition)
-        .orderBy(F.desc("attrition_rate"), "brand", "codigo_padre", "centro").limit(limit)
+        lookups.top_per(df.where(F.col("attrition_rate") >= min_attrition), "brand", [F.desc("attrition_rate"), "codigo_padre", "centro"], limit)
         .select("brand", F.col("codigo_padre").alias("parent_sku"), F.col("centro").alias("store"),
                 F.col("active_sizes_4w").alias("active_sizes"), F.col("total_sizes_ever").alias("total_sizes"),
                 X.half_even("attrition_rate", 3).alias("attrition_rate"),

@@ -131,7 +131,7 @@ SELECT brand, week, codigo_padre, median(avg_precio_final) FILTER (centro LIKE '
        round(sum(velocity_4w) FILTER (centro LIKE 'AB%') + coalesce(sum(click_collect_units) FILTER (centro NOT LIKE 'AB%'), 0), 6) AS ecomm_velocity
 FROM pricing_rows GROUP BY ALL HAVING count(*) FILTER (centro LIKE 'AB%') > 0""",
     "acts": f"""
-SELECT a.brand, a.week, a.codigo_padre AS parent_sku, centro AS store, store_name, substr(product_name, 1, 50) AS product, primera_jerarquia AS category,
+SELECT a.brand, a.week, a.codigo_padre AS parent_sku, centro AS store, store_name, product_name AS product, primera_jerarquia AS category,
        segunda_jerarquia AS subcategory, n_sell AS sizes_selling, total_sizes_catalog AS sizes_total, CAST(trunc(product_age_weeks) AS BIGINT) AS product_age_weeks,
        stock_on_hand, round_even(weeks_of_cover, 1) AS weeks_of_cover, CAST(trunc(avg_precio_lista) AS BIGINT) AS current_list_price, now_p AS current_price,
        CASE WHEN cur <= 0 THEN '0%' ELSE {pct('cur')} END AS current_discount, round_even(velocity_4w, 1) AS current_velocity, price AS recommended_price,
@@ -165,7 +165,7 @@ FROM (SELECT brand, week, parent_sku, channel, r, count(*) AS n FROM ch_pieces W
 SELECT * FROM (SELECT brand, week, codigo_padre AS parent_sku, channel, count(DISTINCT centro) AS n_stores, round(sum(coalesce(velocity_4w, 0)), 6) AS vel,
        string_agg(DISTINCT centro, ',' ORDER BY centro) AS stores_in_channel, sum(stock_on_hand) AS stock, median(avg_precio_lista) AS lp,
        round(sum(coalesce(avg_precio_final, 0) * w) / sum(w), 6) AS price, round(sum(coalesce(discount_rate, 0) * w) / sum(w), 9) AS disc,
-       any_value(e) AS e, substr(min(product_name), 1, 50) AS product, min(primera_jerarquia) AS category, min(segunda_jerarquia) AS subcategory
+       any_value(e) AS e, min(product_name) AS product, min(primera_jerarquia) AS category, min(segunda_jerarquia) AS subcategory
 FROM ch_rows GROUP BY ALL) LEFT JOIN (SELECT brand, codigo_padre AS parent_sku, cost FROM costs_by_parent) USING (brand, parent_sku)
 WHERE vel > 0 AND lp IS NOT NULL""",
     "ch_inputs": """

@@ -92,8 +92,8 @@ SELECT brand, codigo_padre, competitor, comp_price, comp_list_price, comp_in_sto
 FROM (SELECT brand, codigo_padre, s_name AS competitor,
              round(lp * (0.80::DOUBLE + 0.05::DOUBLE * ((q + s_suppkey) % 8))) AS comp_price, lp AS comp_list_price,
              (q + s_suppkey) % 4 <> 0 AS comp_in_stock
-      FROM (SELECT brand, codigo_padre, q, max(list_price) AS lp FROM fx_part GROUP BY brand, codigo_padre, q) p,
-           (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 3) s)""",
+      FROM (SELECT brand, codigo_padre, q, max(list_price) AS lp FROM fx_part GROUP BY brand, codigo_padre, q)
+      JOIN (SELECT DISTINCT brand, codigo_padre, q, l_suppkey AS s_suppkey FROM lineitem JOIN fx_part ON l_partkey = p_partkey) USING (brand, codigo_padre, q) JOIN supplier USING (s_suppkey))""",
     "fx_contribution": """
 SELECT brand, brand AS banner, sku, CAST(floor(descuento / 10) AS DOUBLE) AS contribucion_valor
 FROM fx_line WHERE q % 5 = 0 AND cantidad > 0""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -180,11 +181,8 @@ SELECT brand, week, parent_sku, store, urgency, status FROM act_status
 WHERE vendor_brand = 'Nike' AND lower(category) LIKE '%footwear%' AND urgency = 'HIGH' AND action_type <> 'increase' AND status = 'approved'
   AND lower(product) LIKE '%small%'""")
 def _(r):
-    week = r.history.withColumn("_wk", F.col("week"))
-    dec = D.decide_by_formula(r.history).select("brand", "week", "key", F.col("status"))
-    rows = A.filter_actions(week, vendor="nike", category="footwear", urgency="HIGH", search="small").drop("_wk")
-    joined = rows.withColumn("key", D.decision_key(rows)).join(dec, D.KEYS).where("status = 'approved'")
-    return joined.select("brand", "week", "parent_sku", "store", "urgency", "status")
+    rows = A.filter_actions(r.history, vendor="nike", category="footwear", urgency="HIGH", search="small", status="approved", decisions=D.decide_by_formula(r.history))
+    return rows.select("brand", "week", "parent_sku", "store", "urgency", F.lit("approved").alias("status"))
 
 
 # ------------------------------------------------------------ child features
@@ -505,7 +503,7 @@ def _(r):
 @query("size_alert_view", f"""
 SELECT brand, codigo_padre AS parent_sku, centro AS store, active_sizes_4w AS active_sizes, total_sizes_ever AS total_sizes,
        round_even(attrition_rate, 3) AS attrition_rate, round_even(core_completeness, 3) AS core_completeness, alert_reasons
-FROM (SELECT * FROM ({_ALERT_SQL}) WHERE attrition_rate >= 0.3::DOUBLE ORDER BY attrition_rate DESC, brand, codigo_padre, centro LIMIT 30)""")
+FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY attrition_rate DESC, codigo_padre, centro) AS k FROM ({_ALERT_SQL}) WHERE attrition_rate >= 0.3::DOUBLE) WHERE k <= 30""")
 def _(r):
     return Z.size_alert_view(Z.size_alerts(r.sizes))
 
@@ -806,13 +804,28 @@ def _(r):
     return r.history
 
 
-@query("order_actions", """
-SELECT brand, week, parent_sku, store, urgency, rev_delta, row_number() OVER (PARTITION BY brand ORDER BY CASE urgency WHEN 'INCREASE' THEN -1 WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END,
-       rev_delta DESC, parent_sku, store) AS place FROM acts_now""")
+_ORDERS = {"urgency": "CASE urgency WHEN 'INCREASE' THEN -1 WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, rev_delta DESC", "revenue": "abs(rev_delta) DESC",
+           "confidence": "model_confidence DESC NULLS LAST", "store": "store_name NULLS FIRST", "age": "product_age_weeks DESC NULLS LAST",
+           "discount": "CASE recommended_discount WHEN 'Full price' THEN 0.0::DOUBLE ELSE CAST(replace(recommended_discount, '%', '') AS DOUBLE) / 100 END DESC"}
+
+
+@query("order_actions", f"""
+SELECT brand, week, parent_sku, store, urgency, rev_delta, row_number() OVER (PARTITION BY brand ORDER BY {_ORDERS['urgency']}, parent_sku, store) AS place FROM acts_now""")
+def _(r):
+    return A.placed_actions(r.actions).select("brand", "week", "parent_sku", "store", "urgency", "rev_delta", "place")
+
+
+@query("action_orders", " UNION ALL ".join(
+    f"SELECT '{name}' AS sort, brand, parent_sku, store, row_number() OVER (PARTITION BY brand ORDER BY {by}, parent_sku, store) AS place FROM acts_now" for name, by in _ORDERS.items()))
 def _(r):
-    every = A.order_actions(r.actions).select("brand", "week", "parent_sku", "store", "urgency", "rev_delta")
-    place = F.row_number().over(Window.partitionBy("brand").orderBy(A.urgency_rank(), F.desc("rev_delta"), "parent_sku", "store"))
-    return every.withColumn("place", place)
+    parts = [A.placed_actions(r.actions, name).select(F.lit(name).alias("sort"), "brand", "parent_sku", "store", "place") for name in _ORDERS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("page_by_place", f"""
+SELECT brand, parent_sku, store, place FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY {_ORDERS['confidence']}, parent_sku, store) AS place FROM acts_now) WHERE place > 10 AND place <= 20""")
+def _(r):
+    return A.page_by_place(A.placed_actions(r.actions, "confidence"), 2, 10).select("brand", "parent_sku", "store", "place")
 
 
 @query("page_of_actions", """
@@ -925,11 +938,11 @@ def _(r):
 
 
 @query("cross_store_view", """
-SELECT v.*, product FROM (SELECT brand, codigo_padre AS parent_sku, max(n_stores) AS n_stores, round_even(max(price_spread), 3) AS price_spread,
+SELECT v.* EXCLUDE (k, spread), product FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY spread DESC, parent_sku) AS k FROM (SELECT brand, codigo_padre AS parent_sku, max(price_spread) AS spread, max(n_stores) AS n_stores, round_even(max(price_spread), 3) AS price_spread,
        round_even(max(discount_spread), 3) AS discount_spread, CAST(trunc(max(sync_price)) AS BIGINT) AS sync_price, max(alert_reasons) AS alert_reasons,
        string_agg(centro || ':' || CAST(CAST(trunc(avg_precio_final) AS BIGINT) AS VARCHAR), ',' ORDER BY centro) AS stores
-FROM alerts GROUP BY ALL ORDER BY price_spread DESC, brand, codigo_padre LIMIT 50) v
-LEFT JOIN (SELECT brand, parent_sku, min(product) AS product FROM acts_now GROUP BY ALL) USING (brand, parent_sku)""")
+FROM alerts GROUP BY brand, codigo_padre)) v
+LEFT JOIN (SELECT brand, parent_sku, min(product) AS product FROM acts_now GROUP BY ALL) USING (brand, parent_sku) WHERE k <= 50""")
 def _(r):
     view = AL.cross_store_view(AL.cross_store_alerts(r.parent), r.actions, r.t.stores)
     shops = F.array_join(F.transform("stores", lambda s: F.concat_ws(":", s["store"], s["price"].cast("string"))), ",")
@@ -992,9 +1005,9 @@ def _(r):
 
 
 @query("planner_roster", """
-SELECT a.brand, store_name AS name, count(*) AS n, CAST(sum(rev_delta) AS BIGINT) AS rev_delta FROM act_status a WHERE status IS NOT NULL GROUP BY ALL""")
+SELECT a.brand, store_name AS name, count(*) AS n, CAST(sum(rev_delta) AS BIGINT) AS rev_delta FROM act_status_now a WHERE status IS NOT NULL GROUP BY ALL""")
 def _(r):
-    return D.planner_roster(D.planner_queue(r.history, D.decide_by_formula(r.history)))
+    return D.planner_roster(D.planner_queue(r.actions, D.decide_by_formula(r.history)))
 
 
 @query("export_rows", """
@@ -1066,17 +1079,17 @@ def _(r):
 @query("impact_breakdown", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand, dimension ORDER BY abs(rev_delta) DESC, name) AS rank FROM (
 SELECT brand, dimension, name, coalesce(sum(rev_delta), 0) AS rev_delta, coalesce(sum(margin_delta), 0) AS margin_delta, count(*) AS n FROM (
-SELECT brand, 'store_name' AS dimension, store_name AS name, rev_delta, margin_delta FROM acts UNION ALL SELECT brand, 'subcategory', subcategory, rev_delta, margin_delta FROM acts
-UNION ALL SELECT brand, 'vendor_brand', vendor_brand, rev_delta, margin_delta FROM acts) GROUP BY brand, dimension, name)) WHERE rank <= 10""")
+SELECT brand, 'store_name' AS dimension, store_name AS name, rev_delta, margin_delta FROM acts_now UNION ALL SELECT brand, 'subcategory', subcategory, rev_delta, margin_delta FROM acts_now
+UNION ALL SELECT brand, 'vendor_brand', vendor_brand, rev_delta, margin_delta FROM acts_now) GROUP BY brand, dimension, name)) WHERE rank <= 10""")
 def _(r):
-    return RP.impact_breakdown(r.history)
+    return RP.impact_breakdown(r.actions)
 
 
 @query("action_distributions", """
-SELECT brand, dimension, value, count(*) AS n FROM (SELECT brand, 'urgency' AS dimension, urgency AS value FROM acts UNION ALL SELECT brand, 'action_type', action_type FROM acts
-UNION ALL SELECT brand, 'confidence_tier', confidence_tier FROM acts) GROUP BY ALL""")
+SELECT brand, dimension, value, count(*) AS n FROM (SELECT brand, 'urgency' AS dimension, urgency AS value FROM acts_now UNION ALL SELECT brand, 'action_type', action_type FROM acts_now
+UNION ALL SELECT brand, 'confidence_tier', confidence_tier FROM acts_now) GROUP BY ALL""")
 def _(r):
-    return RP.action_distributions(r.history)
+    return RP.action_distributions(r.actions)
 
 
 @query("weekly_report", """
@@ -1091,21 +1104,24 @@ def _(r):
     return RP.weekly_report(r.actions, r.t.competitor_prices, AL.cross_store_alerts(r.parent))
 
 
+SQL.STEPS["act_status_now"] = "SELECT s.* FROM act_status s JOIN target_week USING (brand, week)"
+
+
 def _roster_sql(by: str) -> str:
     return f"""
 SELECT brand, {by} AS name, count(*) AS total, count(*) FILTER (status IS NULL) AS pending, count(status) AS decided, count(*) FILTER (urgency = 'HIGH') AS high,
        count(*) FILTER (urgency = 'MEDIUM') AS medium, coalesce(sum(rev_delta), 0) AS rev_delta,
-       round(avg(click_collect_ratio) FILTER (click_collect_ratio > 0), 6) AS avg_click_collect FROM act_status GROUP BY brand, {by}"""
+       round(avg(click_collect_ratio) FILTER (click_collect_ratio > 0), 6) AS avg_click_collect FROM act_status_now GROUP BY brand, {by}"""
 
 
 @query("store_roster", _roster_sql("store_name"))
 def _(r):
-    return RP.roster(r.history, D.decide_by_formula(r.history))
+    return RP.roster(r.actions, D.decide_by_formula(r.history))
 
 
 @query("vendor_roster", _roster_sql("vendor_brand"))
 def _(r):
-    return RP.roster(r.history, D.decide_by_formula(r.history), "vendor_brand")
+    return RP.roster(r.actions, D.decide_by_formula(r.history), "vendor_brand")
 
 
 def _middle(c: str, test: str) -> str:
@@ -1141,12 +1157,12 @@ def _(r):
 SELECT coalesce(brand, 'all') AS brand, count(*) AS total, count(status) AS reviewed, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected,
        count(*) FILTER (status IS NULL) AS undecided, coalesce(sum(rev_delta) FILTER (status = 'approved'), 0) AS approved_rev_delta,
        coalesce(sum(margin_delta) FILTER (status = 'approved'), 0) AS approved_margin_delta, CAST(round_even(count(status) / count(*) * 100, 0) AS BIGINT) AS progress_pct
-FROM act_status GROUP BY GROUPING SETS ((brand), ())""")
+FROM act_status_now GROUP BY GROUPING SETS ((brand), ())""")
 def _(r):
-    return RP.decision_kpis(r.history, D.decide_by_formula(r.history))
+    return RP.decision_kpis(r.actions, D.decide_by_formula(r.history))
 
 
-_QUALITY = ["stock_on_hand", "weekly_entries", "conversion_rate", "avg_dwell_time", "velocity_lift", "optimal_profit", "avg_transit_days"]
+_QUALITY = [c for c in _types("child_features") if c not in W.WEEKLY]
 
 
 @query("data_quality", f"""
@@ -1158,7 +1174,7 @@ UNION ALL SELECT brand, 'features', unnest(['rows', 'skus', 'stores', 'first_wee
 UNION ALL SELECT * FROM (SELECT brand, 'null_rate', unnest([{', '.join(f"'{c}'" for c in _QUALITY)}]) AS name, unnest([{', '.join(f"round(avg(CAST({c} IS NULL AS INT)), 6)" for c in _QUALITY)}]) AS value
        FROM child GROUP BY brand) WHERE value > 0.1::DOUBLE""")
 def _(r):
-    return RP.data_quality(r.t.transactions, r.t.products, r.features.select(*W.WEEKLY, *_QUALITY))
+    return RP.data_quality(r.t.transactions, r.t.products, r.features)
 
 
 # ------------------------------------------------------------------ backtests
@@ -1191,11 +1207,11 @@ JOIN (SELECT brand, week, count(*) AS top_k, avg(will_discount_4w) AS precision_
 LEFT JOIN (SELECT brand, week, count(DISTINCT sku) AS found FROM bt_rows b WHERE k <= 50
            AND EXISTS (SELECT 1 FROM bt_rows p WHERE p.brand = b.brand AND p.week = b.week AND p.sku = b.sku AND p.will_discount_4w = 1) GROUP BY brand, week) f USING (brand, week)""")
 def _(r):
-    return B.walk_forward_metrics(_scored(r), "1998-01-01")
+    return B.walk_forward_metrics(_scored(r))
 
 
 SQL.STEPS["bt_rows"] = """
-SELECT *, row_number() OVER (PARTITION BY brand, week ORDER BY markdown_probability DESC, sku, centro) AS k FROM child_scored WHERE week >= DATE '1998-01-01'"""
+SELECT *, row_number() OVER (PARTITION BY brand, week ORDER BY markdown_probability DESC, sku, centro) AS k FROM child_scored"""
 SQL.STEPS["timing"] = f"""
 SELECT *, round(date_diff('day', model_first_flag, actual_first_markdown) / 7, 1) AS delta_weeks FROM (
 SELECT {SQL.S3}, min(week) FILTER (markdown_probability >= 0.5::DOUBLE) AS model_first_flag, min(week) FILTER (has_discount = 1) AS actual_first_markdown

@@ -368,6 +368,8 @@ RESULT_TYPES: dict[str, str] = {
         "click_collect_ratio:double ecomm_price:double ecomm_discount:double ecomm_velocity:double "
         "ecomm_price_gap_pct:double"
     ),
+    "action_orders": "sort:string brand:string parent_sku:string store:string place:bigint",
+    "page_by_place": "brand:string parent_sku:string store:string place:bigint",
     "order_actions": (
         "brand:string week:date parent_sku:string store:string urgency:string rev_delta:bigint place:bigint"
     ),

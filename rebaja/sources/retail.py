@@ -198,13 +198,14 @@ class RetailTables:
 
     @cached_property
     def competitor_prices(self) -> DataFrame:
-        """Three competitors per parent: the first three suppliers."""
+        """One competitor per parent and supplier that delivers one of its parts."""
         parents = self.parts.groupBy("brand", "codigo_padre", "q").agg(F.max("list_price").alias("lp"))
-        sites = self.table("supplier").where("s_suppkey < 3").select("s_suppkey", "s_name")
+        sites = self.table("supplier").select("s_suppkey", "s_name")
+        delivered = self.table("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+        offers = delivered.join(self.parts, "p_partkey").select("brand", "codigo_padre", "q", "s_suppkey").distinct()
         shift = F.col("q") + F.col("s_suppkey")
         return (
-            parents.withColumn("s_suppkey", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
-            .join(sites, "s_suppkey")
+            offers.join(parents, ["brand", "codigo_padre", "q"]).join(sites, "s_suppkey")
             .select(
                 "brand", "codigo_padre", F.col("s_name").alias("competitor"),
                 F.round(F.col("lp") * (F.lit(0.80) + F.lit(0.05) * (shift % 8))).alias("comp_price"),
