@@ -1392,31 +1392,33 @@ def _(r):
 
 # ------------------------------------------------------------------ streaming
 
-def _streamed(name: str, source: DataFrame, fn, keys: list[str]) -> DataFrame:
-    """Write the source as files, stream them to the end, and return the result table."""
-    spark = source.sparkSession
-    folder = f"{shared_dir(spark)}/rebaja/stream-{name}-{uuid.uuid4().hex[:8]}"
-    source.write.parquet(f"{folder}/in")
-    stream = fn(SW.file_stream(spark, f"{folder}/in", source.schema, files=64))
-    return SW.run_available(stream, f"{folder}/out", f"{folder}/checkpoint", "update", keys)
+def _streamed(name: str, source: DataFrame, time: str, fn, keys: list[str]) -> DataFrame:
+    """The table delivered in order of time and streamed with the stream's own lateness."""
+    return SW.replay(source, time, fn, keys, f"{shared_dir(source.sparkSession)}/rebaja/stream-{name}-{uuid.uuid4().hex[:8]}")
 
 
 @query("stream_weekly_sales", f"SELECT {S4}, units_sold, gross_revenue, click_collect_units FROM weekly")
 def _(r):
     lines = r.t.transactions.select("brand", "sku", "centro", "fecha", "cantidad", "precio_final", "tipo_entrega")
-    return _streamed("sales", lines, lambda s: SW.stream_weekly_sales(s, "4000 days"), ["brand", "sku", "centro", "week"])
+    return _streamed("sales", lines, "fecha", SW.stream_weekly_sales, ["brand", "sku", "centro", "week"])
+
+
+@query("stream_weekly_folios", f"SELECT {S4}, txn_count FROM weekly")
+def _(r):
+    lines = r.t.transactions.select("brand", "sku", "centro", "fecha", "cantidad", "folio")
+    return _streamed("folios", lines, "fecha", SW.stream_weekly_folios, ["brand", "sku", "centro", "week"])
 
 
 @query("stream_traffic_weekly", "SELECT * FROM traffic_week")
 def _(r):
-    return _streamed("traffic", r.t.traffic, lambda s: SW.stream_traffic_weekly(s, "4000 days"), ["centro", "week"])
+    return _streamed("traffic", r.t.traffic, "fecha", SW.stream_traffic_weekly, ["centro", "week"])
 
 
 @query("stream_audit_counts", f"""
 SELECT brand, action, CAST(date_trunc('week', timestamp) AS DATE) AS week, count(*) AS n FROM (SELECT DISTINCT * FROM ({_AUDIT_SQL})) GROUP BY ALL""")
 def _(r):
     log = _audit(r)
-    return _streamed("audit", log.unionByName(log), lambda s: SW.stream_audit_counts(s, "4000 days"), ["brand", "action", "week"])
+    return _streamed("audit", log.unionByName(log), "timestamp", SW.stream_audit_counts, ["brand", "action", "week"])
 
 
 # --------------------------------------------------------------------- models

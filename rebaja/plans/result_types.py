@@ -610,6 +610,7 @@ RESULT_TYPES: dict[str, str] = {
         "brand:string sku:string centro:string week:date units_sold:bigint gross_revenue:double "
         "click_collect_units:bigint"
     ),
+    "stream_weekly_folios": "brand:string sku:string centro:string week:date txn_count:bigint",
     "stream_traffic_weekly": (
         "centro:string week:date weekly_entries:bigint weekly_exits:bigint avg_dwell_time:double"
     ),

@@ -14,11 +14,7 @@ def week_window(ts: str) -> Column:
 
 
 def stream_weekly_sales(lines: DataFrame, lateness: str = "14 days") -> DataFrame:
-    """Units, revenue and pickup lines per week of a stream of POS lines.
-
-    Distinct folios are not counted here: an exact count would hold every folio
-    of the open weeks in state.
-    """
+    """Units, revenue and pickup lines per week of a stream of POS lines. A week leaves the state when the watermark passes its end; later lines are dropped."""
     return (
         lines.where("cantidad > 0").withWatermark("fecha", lateness)
         .groupBy(week_window("fecha").alias("_w"), "brand", "sku", "centro")
@@ -29,6 +25,14 @@ def stream_weekly_sales(lines: DataFrame, lateness: str = "14 days") -> DataFram
     )
 
 
+def stream_weekly_folios(lines: DataFrame, lateness: str = "14 days") -> DataFrame:
+    """Distinct sales folios per week: each folio of an open week is kept in state once, and leaves it with its week."""
+    week = week_window("fecha").alias("_w")
+    first = lines.where("cantidad > 0 AND folio IS NOT NULL").withWatermark("fecha", lateness).select(week, "brand", "sku", "centro", "folio").dropDuplicates(["_w", "brand", "sku", "centro", "folio"])
+    return (first.groupBy("_w", "brand", "sku", "centro").agg(F.count(F.lit(1)).alias("txn_count"))
+            .select("brand", "sku", "centro", F.col("_w.start").cast("date").alias("week"), "txn_count"))
+
+
 def stream_traffic_weekly(traffic: DataFrame, lateness: str = "7 days") -> DataFrame:
     return (
         traffic.withWatermark("fecha", lateness).groupBy(week_window("fecha").alias("_w"), "tienda_id")
@@ -49,12 +53,14 @@ def stream_audit_counts(audit: DataFrame, lateness: str = "1 hour") -> DataFrame
     )
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind).load(path)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files: int | None = None) -> DataFrame:
+    """Files of a folder as they come, at most ``files`` a batch (None: all that are there)."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).format(kind).load(path)
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str, keys: Sequence[str]) -> DataFrame:
-    """Process what is there and stop; returns the result table.
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str, keys: Sequence[str], progress: list | None = None) -> DataFrame:
+    """Process what is there and stop; returns the result table. A later run goes on from the state and offsets in ``checkpoint``. ``progress`` collects the reports of the batches.
 
     In update mode each micro-batch rewrites the rows it changed: batches are
     kept as they come and the last one of a key is read back.
@@ -65,8 +71,27 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str, keys: Se
     query = (df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     spark = df.sparkSession
     schema = T.StructType(list(df.schema.fields) + [T.StructField("_batch", T.IntegerType())])
     out = spark.read.schema(schema).parquet(path)
     rest = [c for c in df.columns if c not in keys]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
+
+
+def replay(source: DataFrame, time: str, stream, keys: Sequence[str], folder: str, deliveries: int = 6, progress: list | None = None) -> DataFrame:
+    """A table as a stream: delivered in order of ``time``, one stretch after the other, each processed by a run that takes up the state of the run before.
+
+    ``stream`` maps the file stream to its result. Stretches are of equal
+    length, so the watermark passes all but the newest weeks and their state
+    is dropped long before the end; no row is late.
+    """
+    spark = source.sparkSession
+    first, last = source.agg(F.min(time).cast("double"), F.max(time).cast("double")).first()
+    stretch = F.lit(0) if first is None or first == last else F.least(F.floor((F.col(time).cast("double") - first) / (last - first) * deliveries), F.lit(deliveries - 1))
+    out = None
+    for n in range(deliveries):
+        source.where(F.coalesce(stretch, F.lit(0)) == n).write.mode("append").parquet(f"{folder}/in")
+        out = run_available(stream(file_stream(spark, f"{folder}/in", source.schema)), f"{folder}/out", f"{folder}/checkpoint", "update", keys, progress)
+    return out
