@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARD = 256, 1 << 20
 #: Halvings of the tree done in one task before its branches are dealt out again.
 LEVELS = 5
+SHARDS_A_TASK = 16
 SEED = 20_011
 
 
@@ -41,28 +42,29 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     return rows.withColumn("target", F.least("most", F.col("weight") * level)).drop("weight", "most")
 
 
-def _mixed(x: np.ndarray, key: int) -> np.ndarray:
-    """A fixed scrambling of 64-bit numbers."""
+def _mixed(x: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A keyed scrambling of 64-bit numbers."""
     with np.errstate(over="ignore"):
-        x = (x ^ np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ key) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
 
 
-def permuted(at: np.ndarray, n: np.ndarray, key: int, back: bool = False) -> np.ndarray:
+def permuted(at: np.ndarray, n: np.ndarray, key: int | np.ndarray, back: bool = False) -> np.ndarray:
     """Places ``at`` of a keyed permutation of 0..n-1 (``back``: its inverse): a Feistel network, walked until inside."""
     at, n = np.asarray(at, np.uint64).copy(), np.asarray(n, np.uint64)
+    keys = np.broadcast_to(np.asarray(key, np.uint64) * np.uint64(8), at.shape)
     half = (np.ceil(np.log2(np.maximum(n, 2).astype(float)) / 2)).astype(np.uint64)
     low = (np.uint64(1) << half) - np.uint64(1)
     todo = np.arange(len(at))
     while len(todo):
-        x, h, m = at[todo], half[todo], low[todo]
+        x, h, m, k = at[todo], half[todo], low[todo], keys[todo]
         left, right = x >> h, x & m
         for r in range(3, -1, -1) if back else range(4):
             if back:
-                left, right = right ^ (_mixed(left, key * 8 + r) & m), left
+                left, right = right ^ (_mixed(left, k + np.uint64(r)) & m), left
             else:
-                left, right = right, left ^ (_mixed(right, key * 8 + r) & m)
+                left, right = right, left ^ (_mixed(right, k + np.uint64(r)) & m)
         at[todo] = left << h | right
         todo = todo[at[todo] >= n[todo]]
     return at.astype(np.int64)
@@ -146,12 +148,17 @@ def _draws(sources, block):
 
 
 def _blocks(cells):
-    """Each cell (shard, colour, range of places) to the blocks at these places."""
+    """Each cell (shard, colour, range of places) to the blocks at these places, some cells at a time."""
     for batch in cells:
-        for c in batch.itertuples():
-            at = np.arange(c.first, c.first + c.n)
-            block = permuted(at, np.full(len(at), c.blocks), _key(c.source_no, c.epoch))
-            yield pd.DataFrame({"shard": c.lo, "source_no": c.source_no, "epoch": np.int32(c.epoch), "block": block, "cut": np.where(at == c.quota - 1, c.cut, 0)})
+        keys = np.array([_key(s, e) for s, e in zip(batch.source_no.tolist(), batch.epoch.tolist())], np.uint64)
+        first, blocks, quota, cut = (batch[c].to_numpy() for c in ("first", "blocks", "quota", "cut"))
+        for at in range(0, len(batch), 64):
+            n = batch.n.to_numpy()[at:at + 64]
+            cell = at + np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n) + first[cell]
+            block = permuted(place, blocks[cell], keys[cell])
+            yield pd.DataFrame({"shard": batch.lo.to_numpy()[cell], "source_no": batch.source_no.to_numpy()[cell], "epoch": batch.epoch.to_numpy()[cell], "block": block,
+                                "cut": np.where(place == quota[cell] - 1, cut[cell], 0)})
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, block: int = BLOCK, shard_words: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +201,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     for _ in range(0, (shards - 1).bit_length(), LEVELS):
         cells = materialise(cells.groupBy("lo", "hi").applyInPandas(_grow(total, shards, LEVELS), CELL), "mix-tree")
     told = cells.join(colours.select("source_no", "epoch", "blocks", F.col("n").alias("quota"), "cut"), ["source_no", "epoch"])
-    drawn = told.mapInPandas(_blocks, "shard long, source_no long, epoch int, block long, cut long")
+    # a cell is a short row that unrolls to many blocks, so its bytes say nothing about the work: so many shards a task
+    drawn = told.repartition(shards // SHARDS_A_TASK + 1, "lo").mapInPandas(_blocks, "shard long, source_no long, epoch int, block long, cut long")
     number = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED), "shard", "source_no", "epoch", "block"), "source_no", "epoch", "block"))
     drawn = drawn.withColumn("place", number)
 
