@@ -1,6 +1,8 @@
 """Predicted against actual effects of implemented decisions."""
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rebaja import constants as C
@@ -23,8 +25,15 @@ def actual_metrics(txn: DataFrame, products: DataFrame, weeks: DataFrame, lookfo
 
     ``precio_final`` is read as a unit price here. A line belongs to at most
     ``lookforward`` decision weeks, so it is exploded to those and equi-joined
-    rather than range-joined.
+    rather than range-joined. Days outside all windows are not read: the first
+    and last of the weeks, two values, bound the scan by a pushed filter.
     """
+    first, last = weeks.agg(F.min("week"), F.max("week")).first()
+    if first is None:
+        txn = txn.where("false")
+    else:
+        day = datetime.timedelta(days=7)
+        txn = txn.where((F.col("fecha") >= F.lit(first + day).cast("timestamp")) & (F.col("fecha") < F.lit(last + (lookforward + 1) * day).cast("timestamp")))
     back = F.explode(F.array(*[F.lit(i) for i in range(1, lookforward + 1)]))
     lines = (
         txn.select("brand", "sku", "centro", "cantidad", "precio_final", X.week_start("fecha").alias("_sold"), back.alias("_k"))

@@ -23,6 +23,7 @@ from rebaja.plans.result_types import RESULT_TYPES
 from rebaja.plans.weekly_run import WeeklyRun
 from rebaja.session import shared_dir
 from rebaja.sources.retail import RetailTables
+from rebaja.sources.steps import StepStore
 from rebaja.streaming import weekly as SW
 
 BUILDERS: dict[str, Callable[[WeeklyRun], DataFrame]] = {}
@@ -809,6 +810,36 @@ _ORDERS = {"urgency": "CASE urgency WHEN 'INCREASE' THEN -1 WHEN 'HIGH' THEN 0 W
            "discount": "CASE recommended_discount WHEN 'Full price' THEN 0.0::DOUBLE ELSE CAST(replace(recommended_discount, '%', '') AS DOUBLE) / 100 END DESC"}
 
 
+def _past_runs(r) -> StepStore:
+    """A store as five runs, a week apart, have left it: the newest five weeks of actions of each brand."""
+    if not hasattr(r, "past_runs"):
+        store = StepStore(r.t.spark, f"{shared_dir(r.t.spark)}/rebaja/steps-{uuid.uuid4().hex[:8]}")
+        rank = F.dense_rank().over(Window.partitionBy("brand").orderBy(F.desc("week")))
+        weeks = r.history.select("brand", "week").distinct().withColumn("age", rank).where("age <= 5").drop("age")
+        store.write("actions", r.history.join(F.broadcast(weeks), ["brand", "week"], "left_semi"))
+        r.past_runs = store
+    return r.past_runs
+
+
+@query("published_latest", "SELECT a.* FROM acts a JOIN (SELECT brand, max(week) AS week FROM acts GROUP BY brand) USING (brand, week)")
+def _(r):
+    return _past_runs(r).latest("actions")
+
+
+@query("published_changes", """
+SELECT brand, parent_sku, store, c.week AS week, c.recommended_price AS recommended_price, p.recommended_price AS previous_price FROM acts c JOIN acts p USING (brand, parent_sku, store)
+JOIN (SELECT brand, week, row_number() OVER (PARTITION BY brand ORDER BY week DESC) AS age FROM (SELECT DISTINCT brand, week FROM acts)) n ON n.brand = c.brand AND n.week = c.week AND n.age = 1
+JOIN (SELECT brand, week, row_number() OVER (PARTITION BY brand ORDER BY week DESC) AS age FROM (SELECT DISTINCT brand, week FROM acts)) b ON b.brand = p.brand AND b.week = p.week AND b.age = 2
+WHERE c.recommended_price <> p.recommended_price""")
+def _(r):
+    two = _past_runs(r).latest("actions", 2)
+    newest = two.groupBy("brand").agg(F.max("week").alias("newest"))
+    keys = ["brand", "parent_sku", "store"]
+    told = two.join(F.broadcast(newest), "brand")
+    before = told.where("week < newest").select(*keys, F.col("recommended_price").alias("previous_price"))
+    return told.where("week = newest").join(before, keys).where("recommended_price <> previous_price").select(*keys, "week", "recommended_price", "previous_price")
+
+
 @query("order_actions", f"""
 SELECT brand, week, parent_sku, store, urgency, rev_delta, row_number() OVER (PARTITION BY brand ORDER BY {_ORDERS['urgency']}, parent_sku, store) AS place FROM acts_now""")
 def _(r):

@@ -368,6 +368,18 @@ RESULT_TYPES: dict[str, str] = {
         "click_collect_ratio:double ecomm_price:double ecomm_discount:double ecomm_velocity:double "
         "ecomm_price_gap_pct:double"
     ),
+    "published_latest": (
+        "brand:string week:date parent_sku:string store:string store_name:string product:string category:string "
+        "subcategory:string sizes_selling:bigint sizes_total:bigint product_age_weeks:bigint stock_on_hand:bigint "
+        "weeks_of_cover:double current_list_price:bigint current_price:bigint current_discount:string "
+        "current_velocity:double recommended_price:bigint recommended_discount:string expected_velocity:double "
+        "current_weekly_rev:bigint expected_weekly_rev:bigint rev_delta:bigint unit_cost:bigint raw_cost:bigint "
+        "rebate_amount:bigint margin_pct:double margin_delta:bigint urgency:string reasons:string "
+        "model_confidence:double confidence_tier:string action_type:string vendor_brand:string "
+        "click_collect_ratio:double ecomm_price:double ecomm_discount:double ecomm_velocity:double "
+        "ecomm_price_gap_pct:double"
+    ),
+    "published_changes": "brand:string parent_sku:string store:string week:date recommended_price:bigint previous_price:bigint",
     "action_orders": "sort:string brand:string parent_sku:string store:string place:bigint",
     "page_by_place": "brand:string parent_sku:string store:string place:bigint",
     "order_actions": (

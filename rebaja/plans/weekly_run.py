@@ -14,6 +14,7 @@ from rebaja.operators import channel as CH, elasticity as E, enhance as H, lifec
 from rebaja.operators import parent as R, pricing as A, signals as S, sizes as Z, weekly as W
 from rebaja.plans.child import ChildInputs, build_child_features
 from rebaja.session import materialise
+from rebaja.sources.steps import StepStore
 
 
 class WeeklyRun:
@@ -129,3 +130,14 @@ class WeeklyRun:
     @cached_property
     def holdout_scores(self) -> DataFrame:
         return materialise(ML.score_brands(self.split.where("is_holdout").drop("is_holdout"), self.models), "holdout_scores")
+
+    def publish(self, store: StepStore) -> None:
+        """Write the current week's steps into the store; a second run of the same week replaces them."""
+        for name, step in {"features": self.current(self.features), "parent": self.current(self.parent), "sizes": self.current(self.sizes), "pricing_rows": self.rows,
+                           "actions": self.actions, "channel_actions": self.channel_actions}.items():
+            store.write(name, step)
+
+    def current(self, step: DataFrame) -> DataFrame:
+        """Rows of each brand's latest week."""
+        last = step.groupBy("brand").agg(F.max("week").alias("week"))
+        return step.join(F.broadcast(last), ["brand", "week"], "left_semi")
