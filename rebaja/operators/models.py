@@ -38,7 +38,7 @@ class Settings:
 
 
 CLASSIFIER = Settings()
-REGRESSOR = Settings(rounds=500, depth=7, step=0.03, features="0.7")
+REGRESSOR = Settings(rounds=500, depth=7, step=0.03, features="0.7", tolerance=0.002)
 #: Weeks before the newest of a brand's training weeks that judge each round.
 VALIDATION_WEEKS = 8
 #: Fits of brands that run side by side; Spark shares the cores among them.
