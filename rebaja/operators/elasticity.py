@@ -4,8 +4,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rebaja.functions import columns as X
@@ -74,34 +72,85 @@ def confidence_tier(r2: str = "r2", n: str = "n_observations", cv: str = "price_
 
 # --------------------------------------------------------------- regression
 
-def _solve(size: int):
-    """Least squares from moment sums, one small matrix per group."""
-    pairs = list(combinations_with_replacement(range(size), 2))
+#: Added to the diagonal of the scaled normal equations, and how often its effect is taken back.
+RIDGE, REFINEMENTS = 1e-6, 8
 
-    @F.pandas_udf("elasticity double, ssr double")
-    def solve(moments: pd.Series) -> pd.DataFrame:
-        out = np.full((len(moments), 2), np.nan)
-        for row, values in enumerate(moments):
-            gram = np.zeros((size, size))
-            for (i, j), v in zip(pairs, values):
-                gram[i, j] = gram[j, i] = v
-            xx, xy, yy = gram[1:, 1:], gram[1:, 0], gram[0, 0]
-            scale = np.sqrt(np.where(np.diag(xx) > 1e-9, np.diag(xx), 1.0))
-            beta = np.linalg.pinv(xx / np.outer(scale, scale), rcond=1e-9, hermitian=True) @ (xy / scale)
-            out[row] = beta[0] / scale[0], yy - (xy / scale) @ beta
-        return pd.DataFrame(out, columns=["elasticity", "ssr"])
 
-    return solve
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def grouped_ols(panel: DataFrame, groups: Sequence[str], controls: Sequence[Column]) -> DataFrame:
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _times(matrix: Column, vector: Column) -> Column:
+    return F.transform(matrix, lambda row: _dot(row, vector))
+
+
+def _inverse(matrix: Column, size: int) -> Column:
+    """Inverse of a positive definite array of rows, by elimination beside the identity."""
+    def cell(rows: Column, i: Column, j: Column) -> Column:
+        return F.get(F.get(rows, i), j)
+
+    def eliminate(rows: Column, k: Column) -> Column:
+        def reduced(row: Column, i: Column) -> Column:
+            factor = F.when(i == k, 1 - 1 / cell(rows, k, k)).otherwise(F.get(row, k) / cell(rows, k, k))
+            return _bind(factor, lambda f: F.zip_with(row, F.get(rows, k), lambda x, pivot: x - f * pivot))
+        return F.transform(rows, reduced)
+
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    beside = F.transform(matrix, lambda row, i: F.concat(row, F.transform(places, lambda j: (i == j).cast("double"))))
+    return F.transform(F.aggregate(places, beside, eliminate), lambda row: F.slice(row, size + 1, size))
+
+
+def _least_squares(fits: DataFrame, size: int) -> DataFrame:
+    """Adds ``elasticity`` and ``_ssr`` to rows with ``_moments``, the upper triangle of the sums of products by rows.
+
+    Variables are scaled to unit sums of squares; one without variation gets
+    the coefficient 0. The normal equations are solved with a small ridge whose
+    effect is then taken back step by step, so dependent controls need no case
+    of their own: the steps lead to the least-squares coefficients of smallest
+    norm. Arrays of fixed size all through, on the JVM.
+    """
+    n = size - 1
+    places = F.sequence(F.lit(1), F.lit(n))
+
+    def moment(i: Column | int, j: Column | int) -> Column:
+        low, high = (F.least(F.lit(i), F.lit(j)), F.greatest(F.lit(i), F.lit(j)))
+        return F.get("_moments", (low * size - low * (low - 1) / 2 + high - low).cast("int"))
+
+    def inverse_root(i: Column) -> Column:
+        return F.when(moment(i, i) > 1e-9, 1 / F.sqrt(moment(i, i))).otherwise(0.0)
+
+    df = X.computed(fits, _scale=F.transform(places, inverse_root))
+    df = X.computed(
+        df, _xy=F.transform(places, lambda i: moment(0, i) * F.get("_scale", i - 1)),
+        _xx=F.transform(places, lambda i: F.transform(places, lambda j: moment(i, j) * F.get("_scale", i - 1) * F.get("_scale", j - 1))))
+    df = X.computed(df, _inv=_inverse(F.transform("_xx", lambda row, i: F.transform(row, lambda v, j: v + F.when(i == j, RIDGE).otherwise(0.0))), n))
+
+    def refine(beta: Column, _) -> Column:
+        left = F.zip_with("_xy", _times(F.col("_xx"), beta), lambda want, have: want - have)
+        return _bind(left, lambda rest: F.zip_with(beta, _times(F.col("_inv"), rest), lambda x, y: x + y))
+
+    start = F.array_repeat(F.lit(0.0), n)
+    df = X.computed(df, _beta=F.aggregate(F.sequence(F.lit(0), F.lit(REFINEMENTS)), start, refine))
+    return df.withColumns({"elasticity": F.get("_beta", F.lit(0)) * F.get("_scale", F.lit(0)),
+                           "_ssr": F.get("_moments", F.lit(0)) - _dot(F.col("_xy"), F.col("_beta"))}).drop("_scale", "_xy", "_xx", "_inv", "_beta")
+
+
+def grouped_ols(panel: DataFrame, groups: Sequence[str], controls: Sequence[Column], min_obs: int = 0, min_cv: float | None = None) -> DataFrame:
     """ln units on ln price, the controls and one intercept per store, by group.
 
+    Groups below ``min_obs`` rows or ``min_cv`` of price variation are dropped
+    before they are solved.
+
     Store intercepts are absorbed instead of being fitted: within each store the
     moments are taken around the store's means, which gives the same price
-    coefficient and residual. Two levels of plain sums do all the work on the
-    JVM (store, then group), partial sums first, so a hot group is never
-    gathered; only a matrix of fixed size reaches Python per group.
+    coefficient and residual. Two levels of plain sums (store, then group),
+    partial sums first, so a hot group is never gathered; what is left per group
+    is a matrix of fixed size, solved in built-in array functions.
     """
     names = ["_y", "_x"] + [f"_c{i}" for i in range(len(controls))]
     values = [F.col("ln_units"), F.col("ln_price") - F.lit(10.0), *controls]
@@ -116,16 +165,17 @@ def grouped_ols(panel: DataFrame, groups: Sequence[str], controls: Sequence[Colu
         F.sum("units").alias("_units"))
     within = [F.sum(F.col(f"_p{i}_{j}") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("_n")) for i, j in pairs]
     n = F.sum("_n")
+    fits = per_store.groupBy(*groups).agg(
+        n.alias("n_observations"), (F.sum("_price") / n).alias("avg_price"), (F.sum("_units") / n).alias("avg_units_week"),
+        F.sqrt(F.greatest(F.lit(0.0), (F.sum("_price2") - F.sum("_price") * F.sum("_price") / n) / F.nullif(n - 1, F.lit(0)))).alias("_std"),
+        (F.sum("_p0_0") - F.sum("_s0") * F.sum("_s0") / n).alias("_sst"), F.array(*within).alias("_moments"))
+    fits = fits.withColumn("price_cv", F.col("_std") / F.col("avg_price")).where(F.col("n_observations") >= min_obs)
+    if min_cv is not None:
+        fits = fits.where(F.col("price_cv") >= min_cv)
     return (
-        per_store.groupBy(*groups).agg(
-            n.alias("n_observations"), (F.sum("_price") / n).alias("avg_price"), (F.sum("_units") / n).alias("avg_units_week"),
-            F.sqrt(F.greatest(F.lit(0.0), (F.sum("_price2") - F.sum("_price") * F.sum("_price") / n) / F.nullif(n - 1, F.lit(0)))).alias("_std"),
-            (F.sum("_p0_0") - F.sum("_s0") * F.sum("_s0") / n).alias("_sst"), F.array(*within).alias("_moments"))
-        .withColumn("price_cv", F.col("_std") / F.col("avg_price"))
-        .withColumn("_fit", _solve(len(names))("_moments"))
-        .withColumns({"elasticity": F.col("_fit.elasticity"),
-                      "r2": 1 - F.col("_fit.ssr") / F.greatest("_sst", F.lit(1e-10))})
-        .drop("_fit", "_moments", "_sst", "_std")
+        _least_squares(fits, len(names))
+        .withColumn("r2", 1 - F.col("_ssr") / F.greatest("_sst", F.lit(1e-10)))
+        .drop("_ssr", "_moments", "_sst", "_std")
     )
 
 
@@ -156,16 +206,15 @@ def _with_hierarchy(fits: DataFrame, panel: DataFrame) -> DataFrame:
 def elasticity_by_parent(panel: DataFrame, min_cv: float = 0.05, min_obs: int = 10,
                          tiers: bool = False, binary: bool = False) -> DataFrame:
     """Elasticity per parent with month, store and trend controls."""
-    fits = grouped_ols(panel.where("codigo_padre is not null"), ["brand", "codigo_padre"], _controls(tiers, binary))
-    kept = fits.where((F.col("n_observations") >= min_obs) & (F.col("price_cv") >= min_cv))
-    return _with_hierarchy(kept.withColumn("confidence", confidence_tier()), panel)
+    fits = grouped_ols(panel.where("codigo_padre is not null"), ["brand", "codigo_padre"], _controls(tiers, binary), min_obs, min_cv)
+    return _with_hierarchy(fits.withColumn("confidence", confidence_tier()), panel)
 
 
 def elasticity_by_category(panel: DataFrame, min_obs: int = 30) -> DataFrame:
     """Elasticity per (category, subcategory), the fall-back of thin parents."""
     keys = ["brand", "primera_jerarquia", "segunda_jerarquia"]
     known = panel.where("primera_jerarquia is not null and segunda_jerarquia is not null")
-    return grouped_ols(known, keys, _controls(False, False)).where(F.col("n_observations") >= min_obs).select(
+    return grouped_ols(known, keys, _controls(False, False), min_obs).select(
         *keys, "elasticity", "r2", "n_observations", "price_cv")
 
 

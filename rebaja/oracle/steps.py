@@ -426,6 +426,49 @@ SELECT brand, coalesce(max(week) FILTER (n >= 10), max(week)) AS week FROM (SELE
 })
 
 
+def regression(keys: list[str], kept: str, tiers: bool = False) -> str:
+    """Least squares of ln units on ln price with month, trend (and tier) controls and store means taken out, per ``keys``.
+
+    The ridge and the rounds that take it back are those of the definition;
+    elimination runs as a recursion over the pivots.
+    """
+    xs = ["ln_price"] + [f"CAST(month = {m} AS DOUBLE)" for m in range(2, 13)] + ["week_num / 100.0::DOUBLE"]
+    if tiers:
+        bounds = [0.07, 0.175, 0.25, 0.35, 1e9]
+        xs += [f"CAST(discount_depth >= {a}::DOUBLE AND discount_depth < {b}::DOUBLE AS DOUBLE)" for a, b in zip(bounds, bounds[1:])]
+    n, by = len(xs), ", ".join(keys)
+    within = ", ".join(f"{x} - avg({x}) OVER s AS x{i}" for i, x in enumerate(xs))
+    gram = ", ".join("[" + ", ".join(f"sum(x{min(i, j)} * x{max(i, j)})" for j in range(n)) + "]" for i in range(n))
+    side = ", ".join(f"sum(x{i} * y)" for i in range(n))
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return f"""
+WITH RECURSIVE moments AS (
+  SELECT {by}, count(*) AS n_observations, avg(avg_price) AS avg_price, avg(units) AS avg_units_week, stddev_samp(avg_price) / avg(avg_price) AS price_cv,
+         min(primera_jerarquia) AS h1, min(segunda_jerarquia) AS h2, var_pop(ln_units) * count(*) AS sst, sum(y * y) AS yy, [{gram}] AS g, [{side}] AS h
+  FROM (SELECT *, ln_units - avg(ln_units) OVER s AS y, {within} FROM panel WHERE {known} WINDOW s AS (PARTITION BY {by}, centro))
+  GROUP BY {by} HAVING {kept}),
+scaled AS (
+  SELECT *, list_transform(g, lambda r, i: list_transform(r, lambda v, j: v * sc[i] * sc[j])) AS a, list_transform(h, lambda v, i: v * sc[i]) AS c
+  FROM (SELECT *, list_transform(g, lambda r, i: CASE WHEN r[i] > 1e-9 THEN 1 / sqrt(r[i]) ELSE 0.0::DOUBLE END) AS sc FROM moments)),
+pivots AS (
+  SELECT {by}, 1 AS k, list_transform(a, lambda r, i: list_concat(list_transform(r, lambda v, j: v + CASE WHEN i = j THEN 1e-6::DOUBLE ELSE 0.0::DOUBLE END),
+         list_transform(r, lambda v, j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))) AS m FROM scaled
+  UNION ALL
+  SELECT {by}, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k])
+         ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM pivots WHERE k <= {n}),
+inverse AS (SELECT {by}, list_transform(m, lambda r: r[{n + 1}:{2 * n}]) AS p FROM pivots WHERE k = {n + 1}),
+steps_back AS (
+  SELECT {by}, 0 AS t, a, c, p, list_transform(c, lambda v: 0.0::DOUBLE) AS b FROM scaled JOIN inverse USING ({by})
+  UNION ALL
+  SELECT {by}, t + 1, a, c, p, list_transform(p, lambda r, i: b[i] + list_dot_product(r, gap))
+  FROM (SELECT *, list_transform(c, lambda v, i: v - list_dot_product(a[i], b)) AS gap FROM steps_back WHERE t < 9))
+SELECT {by}, n_observations, avg_price, avg_units_week, price_cv, elasticity, r2, h1, h2,
+       CASE WHEN r2 > 0.3::DOUBLE AND n_observations > 30 AND price_cv > 0.1::DOUBLE THEN 'high'
+            WHEN r2 > 0.15::DOUBLE AND n_observations > 15 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT s.*, b[1] * sc[1] AS elasticity, 1 - (yy - list_dot_product(s.c, b)) / greatest(sst, 1e-10) AS r2
+      FROM scaled s JOIN (SELECT {by}, b FROM steps_back WHERE t = 9) USING ({by}))"""
+
+
 def assemble(query: str) -> str:
     """The query with the steps it needs, each defined once and before its use."""
     needed, stack = set(), [query]

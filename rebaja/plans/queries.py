@@ -406,17 +406,20 @@ def _(r):
     return E.elasticity_fast(r.panel)
 
 
-@query("elasticity_by_parent")
+_VARIED = "count(*) >= 10 AND stddev_samp(avg_price) / avg(avg_price) >= 0.05::DOUBLE"
+
+
+@query("elasticity_by_parent", f"SELECT *, h1 AS primera_jerarquia, h2 AS segunda_jerarquia FROM ({SQL.regression(['brand', 'codigo_padre'], _VARIED)})")
 def _(r):
     return E.elasticity_by_parent(r.panel)
 
 
-@query("elasticity_by_parent_tiers")
+@query("elasticity_by_parent_tiers", f"SELECT *, h1 AS primera_jerarquia, h2 AS segunda_jerarquia FROM ({SQL.regression(['brand', 'codigo_padre'], _VARIED, tiers=True)})")
 def _(r):
     return E.elasticity_by_parent(r.panel, tiers=True)
 
 
-@query("elasticity_by_category")
+@query("elasticity_by_category", SQL.regression(["brand", "primera_jerarquia", "segunda_jerarquia"], "count(*) >= 30"))
 def _(r):
     return E.elasticity_by_category(r.panel)
 

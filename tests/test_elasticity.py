@@ -84,3 +84,25 @@ def test_category_level(spark, run):
     for key, pdf in panel.groupby(["brand", "primera_jerarquia", "segunda_jerarquia"]):
         if len(pdf) >= 30:
             assert got[key].elasticity == pytest.approx(brute(pdf)[0], rel=1e-5, abs=1e-6)
+
+
+def test_dependent_controls_give_the_smallest_norm(spark):
+    """Few rows, all months apart: more controls than rows; the scaled, store-demeaned system by numpy."""
+    pdf = seeded(seed=3, n=12).assign(month=range(1, 13), centro=["S0", "S1"] * 6)
+    fits = E.elasticity_by_parent(E.markdown_tiers(spark.createDataFrame(pdf)))
+    row = fits.first()
+    x = np.column_stack([pdf.ln_price] + [(pdf.month == m).astype(float) for m in range(2, 13)] + [pdf.week_num / 100])
+    x, y = (v - pd.DataFrame(v).groupby(pdf.centro).transform("mean").values.reshape(v.shape) for v in (x, pdf.ln_units.values))
+    scale = np.sqrt((x ** 2).sum(0))
+    beta = np.linalg.pinv(x / scale, rcond=1e-6) @ y
+    assert row.elasticity == pytest.approx(beta[0] / scale[0], abs=1e-6)
+    assert row.r2 == pytest.approx(1 - ((y - x / scale @ beta) ** 2).sum() / ((pdf.ln_units - pdf.ln_units.mean()) ** 2).sum(), abs=1e-6)
+    plan = fits._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_price_constant_in_each_store(spark):
+    pdf = seeded(n=40)
+    pdf = pdf.assign(avg_price=np.where(pdf.centro < "S2", 40000.0, 60000.0))
+    pdf["ln_price"] = np.log(pdf.avg_price)
+    assert E.elasticity_by_parent(E.markdown_tiers(spark.createDataFrame(pdf))).first().elasticity == 0
