@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebaja.functions import columns as X
 from rebaja.operators import elasticity as E, lifecycle as L, lookups
+from rebaja.session import materialise
 
 PARENT_WEEK = ["brand", "codigo_padre", "centro", "week"]
 SIZE_COLUMNS = ["attrition_rate", "core_completeness", "fragmentation_index", "active_sizes_4w", "total_sizes_ever"]
@@ -64,9 +65,11 @@ def category_interactions(features: DataFrame) -> DataFrame:
 
     A code is the alphabetical place of the label among those of the brand. The
     labels are few (categories times six at most), so their map is broadcast.
+    The terciles, one row per brand, are written once for both readers.
     """
     labels = interaction_labels()
-    df = features.join(F.broadcast(velocity_terciles(features)), "brand", "left").withColumns(
+    terciles = materialise(velocity_terciles(features), "velocity_terciles")
+    df = features.join(F.broadcast(terciles), "brand", "left").withColumns(
         {f"_{n}": c for n, c in labels.items()})
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(f"_{n}").alias("label")) for n in labels]))
     seen = df.select("brand", pairs.alias("p")).select("brand", "p.*").distinct()

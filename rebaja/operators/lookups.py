@@ -5,6 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rebaja.session import materialise
+
 
 def sku_parent(products: DataFrame) -> DataFrame:
     """One parent per child SKU; SKUs without a parent are left out."""
@@ -68,14 +70,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     values are counted first, approximate splitters cut each group into cells
     of about equal size, cell totals locate the wanted ranks, and only the cells
     that hold a rank are sorted: a group is spread over ``cells`` tasks.
+    Counts, splitters and ranks are written once, as each has several readers;
+    splitters and ranks, a few rows per group, are then broadcast by their size
+    on disk, so counts are not shuffled by a group that holds most of them.
     Returns keys, ``n`` and one column per probability.
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(counts, "quantile-counts")
     cuts = [i / cells for i in range(1, cells)]
     splitters = counts.groupBy(*keys).agg(
         F.percentile_approx("_v", F.array(*[F.lit(c) for c in cuts]), F.lit(1000)).alias("_cuts"))
-    celled = counts.join(splitters, keys).withColumn(
+    celled = counts.join(materialise(splitters, "quantile-splitters"), keys).withColumn(
         "_cell", F.size(F.filter("_cuts", lambda s: s < F.col("_v")))).drop("_cuts")
     totals = celled.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cell_n"))
     over = Window.partitionBy(*keys)
@@ -91,6 +97,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         .select("*", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_cell_n")))
     )
+    ranks = materialise(ranks, "quantile-ranks")
     in_cell = celled.join(ranks.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi").withColumn(
         "_upto", F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy("_v")
                                   .rowsBetween(Window.unboundedPreceding, 0)))

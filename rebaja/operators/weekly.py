@@ -35,14 +35,15 @@ def exclude_service_skus(txn: DataFrame) -> DataFrame:
     return txn.where(~F.col("sku").isin(SERVICE_SKUS))
 
 
-def weekly_sales(txn: DataFrame, exclude: bool = True) -> DataFrame:
+def weekly_sales(txn: DataFrame, exclude: bool = True, first: bool = False) -> DataFrame:
     """Units, revenue, returns and price aggregates per (brand, sku, centro, week).
 
     Volume comes from all sales; prices from clean retail lines, column by
     column falling back to all sales. Prices are read as unit prices and the
     discount rate as a ratio of line sums, with no quantity. ``exclude=False``
-    takes prices from all sales. Sales and returns share one aggregation, so
-    lines are shuffled once, after partial sums.
+    takes prices from all sales; ``first`` adds the time of the first sale.
+    Sales and returns share one aggregation: lines are read once and leave the
+    first exchange as partial sums per folio, which distinct folios call for.
     """
     sale, clean = F.col("cantidad") > 0, F.lit(True)
     if exclude:
@@ -64,6 +65,7 @@ def weekly_sales(txn: DataFrame, exclude: bool = True) -> DataFrame:
         priced(F.min, "precio_lista").alias("min_precio_lista"),
         priced(F.max, "precio_lista").alias("max_precio_lista"),
         F.coalesce(F.abs(F.sum(F.when(~sale, F.col("cantidad")))), F.lit(0)).alias("units_returned"),
+        *([F.min(F.when(sale, F.col("fecha"))).alias("first_fecha")] if first else []),
     ).where("units_sold is not null")
     return out.withColumns({
         "instore_units": X.clip(F.col("units_sold") - F.col("click_collect_units"), low=0),

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from rebaja.operators import margin, weekly as W
 from rebaja.session import materialise
@@ -31,10 +31,12 @@ def build_child_features(x: ChildInputs, dense: bool = False, strict_future: boo
     """Weekly sales with every feature group, targets last.
 
     The aggregated sales are written once: later steps look at them again
-    (sizes selling, latest week, row counts) and would otherwise each re-plan
-    the scan of the transactions.
+    (first sales, shares of sizes, sizes selling, latest week, row counts) and
+    would otherwise each read the transactions again.
     """
-    base = materialise(W.weekly_sales(x.transactions), "weekly_sales")
+    weekly = materialise(W.weekly_sales(x.transactions, first=True), "weekly_sales")
+    sold = weekly.select("brand", "sku", F.col("units_sold").alias("cantidad"), F.col("first_fecha").alias("fecha"))
+    base = weekly.drop("first_fecha")
     skus = base.select("brand", "sku").distinct()
     df = base
     if x.official_prices is not None:
@@ -43,9 +45,9 @@ def build_child_features(x: ChildInputs, dense: bool = False, strict_future: boo
     df = W.price_features(df)
     df = W.target_variables(df, strict_future)
     df = W.filter_active_rows(df)
-    df = W.product_age(df, x.transactions)
+    df = W.product_age(df, sold)
     if x.stock is not None:
-        df = W.size_sales_share(df, x.transactions, x.products)
+        df = W.size_sales_share(df, sold, x.products)
     df = W.product_attributes(df, x.products)
     df = W.size_curve_completeness(df, x.products, base)
     df = W.seasonality_features(df)

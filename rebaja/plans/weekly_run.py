@@ -30,7 +30,7 @@ class WeeklyRun:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return E.elasticity_panel(self.t.transactions, self.t.products, self.t.reference_prices)
+        return materialise(E.elasticity_panel(self.t.transactions, self.t.products, self.t.reference_prices), "panel")
 
     @cached_property
     def elasticity(self) -> DataFrame:
