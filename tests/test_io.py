@@ -110,6 +110,23 @@ def test_offers_on_pages(spark):
     assert (got["b", 0].comp_price, got["b", 0].comp_list_price, got["b", 0].comp_discount) == (105990, 149990, 0.293)
 
 
+def test_search_replies_and_links(spark):
+    results = [{"value": "Bondi 9", "data": {"displayedPrice": 80000, "discountPercentage": 20, "url": "/bondi-9"}},
+               {"data": {"description": "Mach 6", "displayedPrice": "59990.0", "url": "https://shop.example/mach"}},
+               {"value": "Free", "data": {"displayedPrice": 0, "url": "/free"}}, {"value": "No data"},
+               {"value": "Gift", "data": {"displayedPrice": 990, "discountPercentage": 100, "url": None}}]
+    rows = [("r", "https://site.example/search?q=x", "  " + json.dumps({"response": {"results": results}})), ("n", None, json.dumps({"response": {"results": results[:1]}})),
+            ("z", "https://site.example/z", json.dumps({"response": None})), ("l", "https://site.example/l", json.dumps([1, 2])), ("0", "https://site.example/0", None)]
+    got = {(r.page_id, r.position): r for r in K.extract_offers(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert set(got) == {("r", 0), ("r", 1), ("r", 4), ("n", 0)}
+    assert [(got["r", i].name, got["r", i].url, got["r", i].comp_price, got["r", i].comp_list_price, got["r", i].comp_discount) for i in (0, 1, 4)] == [
+        ("Bondi 9", "https://site.example/bondi-9", 80000, 100000, 0.2), ("Mach 6", "https://shop.example/mach", 59990, 59990, 0.0),
+        ("Gift", "https://site.example/search?q=x", 990, 990, 0.0)]
+    assert got["n", 0].url == "/bondi-9"
+    found = {(r.page_id, r.position): r.url for r in K.extract_offers(pages(spark)).collect()}
+    assert found == {("a", 0): "http://x/a", ("b", 0): "http://x/p/1", ("b", 2): "http://x/p/3"}
+
+
 def test_name_scores(spark):
     cases = [("bondi 9", "bondi 9 blue white", 0.85, 1.0), ("mach 6 black", "black mach 6", 1.0, 1.0), ("bondi 9", "clifton 9", 0.0, 0.85)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(cases)], "i int, a string, b string").coalesce(1)
