@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rebaja.llm.common import U64, slices
+from rebaja.llm.common import U64, sampled, slices
 from rebaja.session import materialise
 
 BITS, BYTES = 64, 8
@@ -67,8 +67,7 @@ def coded(vectors: DataFrame, name: str) -> tuple[DataFrame, DataFrame, tuple[np
     d = usual["d"] if usual else 1
     usable = rows.where(F.col("good") & (F.size("embedding") == d))
     n = usable.count()
-    share = int(1e6 * min(1.0, SAMPLE / max(n, 1)))
-    sample = usable.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < share).select("uid", "embedding").orderBy("uid").collect()
+    sample = usable.where(sampled("uid", SAMPLE, n)).select("uid", "embedding").orderBy("uid").collect()
     sample = unit(np.array([r.embedding for r in sample], float).reshape(-1, d)) if sample else np.zeros((0, d))
     mean, projection = fit_rotation(sample)
 

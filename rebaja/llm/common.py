@@ -24,6 +24,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def sampled(key: str | Column, wanted: int, total: int) -> Column:
+    """True for about ``wanted`` of ``total`` rows, chosen by hash of ``key``.
+
+    The share is held to 10^-12, so that it does not round to nothing where
+    ``total`` is many billions.
+    """
+    hashed, digits = F.xxhash64(key), F.lit(1_000_000)
+    place = F.pmod(hashed, digits) * digits + F.pmod(F.shiftright(hashed, 24), digits)
+    return place < F.lit(int(1e12 * min(1.0, wanted / max(total, 1))))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Short runs of rows, so that what a task holds besides one Arrow batch stays small."""
     for batch in batches:

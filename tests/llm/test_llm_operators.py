@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rebaja.llm import bpe_transducer, chat_views, license_scan, near_vectors, packing, pii, simhash, token_files, toxicity, vector_search
 from rebaja.llm.binary_codes import encode, fit_rotation
-from rebaja.llm.common import components, forest
+from rebaja.llm.common import components, forest, sampled
 from rebaja.llm.queries import SQL
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +44,15 @@ def test_components_of_chains_and_stars(spark):
     assert dict(zip(node.tolist(), root.tolist())) == {5: 2, 9: 2, 8: 2}
 
 
+def test_sample_share_of_huge_tables(spark):
+    """All rows of a table below the bound, about the bound above it, and a share that is not nothing for 10^10 rows and more."""
+    rows = spark.range(200_000)
+    n = rows.agg(F.count_if(sampled("id", 8192, 8000)).alias("all"), F.count_if(sampled("id", 8192, 200_000)).alias("some"),
+                 F.count_if(sampled("id", 8192 * 200, 10**10)).alias("few"), F.count_if(sampled("id", 8192, 0)).alias("none_known")).first()
+    assert n["all"] == n.none_known == 200_000 and abs(n.some - 8192) < 400 and 10 < n.few < 70
+    assert spark.range(20_000_000).where(sampled("id", 8192, 16_000_000_000)).count() > 0
+
+
 @pytest.mark.parametrize("name, table", [("op1_pii", "documents"), ("op4_license_scan", "documents"), ("op9_chat_views", "conversations")])
 def test_same_as_sql(spark, name, table):
     from rebaja.llm.queries import QUERIES
