@@ -10,7 +10,12 @@ KEYS = ["brand", "week", "key"]
 
 
 def decision_key(df: DataFrame) -> Column:
-    return F.concat_ws("-", "parent_sku", "channel" if "store" not in df.columns else "store")
+    """Key of an action: parent and store, or parent and channel (bm, ecomm) where rows have no store.
+
+    A row without a valid place has no key, so it meets no decision.
+    """
+    place = F.nullif(F.trim("store"), F.lit("")) if "store" in df.columns else F.when(F.col("channel").isin("bm", "ecomm"), F.col("channel"))
+    return F.when(place.isNotNull(), F.concat_ws("-", "parent_sku", place))
 
 
 def decide_by_formula(actions: DataFrame) -> DataFrame:
@@ -60,8 +65,11 @@ def chain_fanout(chain: DataFrame, actions: DataFrame, decisions: DataFrame) ->
     """Chain decisions spread to the stores of their scope that have none of their own.
 
     ``chain``: brand, week, parent_sku, chain_scope (all, bm, ecomm), status, ts.
-    Returns the store decisions, the fanned ones with ``chain_key``.
+    Returns the store decisions, the fanned ones with ``chain_key``. Actions
+    must be per store: one per channel is a chain decision already.
     """
+    if "store" not in actions.columns:
+        raise ValueError("chain decisions need actions per store")
     scoped = (
         actions.select("brand", "week", "parent_sku", "store", X.channel_of("store").alias("_channel"))
         .join(chain, ["brand", "week", "parent_sku"])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from rebaja import constants as C
 from rebaja.functions import columns as X, pricing as P
 from rebaja.operators import alerts as AL, backtest as B, channel as CH, competitors as K, decisions as D, elasticity as E
-from rebaja.operators import enhance as H, lifecycle as L, lookups as Q, margin as M, models as ML, outcomes as O
+from rebaja.operators import enhance as H, lifecycle as L, lookups as Q, margin as M, models as ML, names as N, outcomes as O
 from rebaja.operators import parent as R, pricing as A, reports as RP, signals as S, sizes as Z, weekly as W
 from rebaja.oracle import actions as _actions  # noqa: F401  (adds its steps)
 from rebaja.oracle import steps as SQL
@@ -1052,6 +1052,42 @@ def _(r):
         "brand", "week", "parent_sku", "store", "status", "recommended_price", "margin_pct", "expected_velocity", "section")
 
 
+_CHANNEL_STATUS = """
+SELECT *, parent_sku || '-' || channel AS key, CASE CAST(regexp_extract(parent_sku, '(\\d+)-', 1) AS INTEGER) % 5 WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' WHEN 3 THEN 'manual'
+       WHEN 4 THEN 'bm_approved' END AS status FROM channel JOIN target_week USING (brand, week)"""
+
+
+def _channel_decisions(r):
+    """Decisions per channel; planners approve what brand managers approved for the web shop."""
+    decided = D.decide_by_formula(r.channel_actions)
+    planned = decided.where("status = 'bm_approved' and key like '%-ecomm'").select(*D.KEYS, F.lit("planner_approved").alias("planner_status"))
+    return D.planner_transition(decided, planned).drop("bm_status")
+
+
+@query("channel_planner_queue", f"""
+SELECT brand, week, parent_sku, channel, key, status AS bm_status, CASE WHEN status = 'manual' THEN recommended_price + 1000 END AS manual_price
+FROM ({_CHANNEL_STATUS}) WHERE status IS NOT NULL AND NOT (status = 'bm_approved' AND channel = 'ecomm')""")
+def _(r):
+    return D.planner_queue(r.channel_actions, _channel_decisions(r)).select("brand", "week", "parent_sku", "channel", "key", "bm_status", "manual_price")
+
+
+@query("channel_planner_roster", f"""
+SELECT brand, CASE channel WHEN 'ecomm' THEN 'Ecomm' ELSE 'B&M' END AS name, count(*) AS n, sum(rev_delta) AS rev_delta
+FROM ({_CHANNEL_STATUS}) WHERE status IS NOT NULL AND NOT (status = 'bm_approved' AND channel = 'ecomm') GROUP BY ALL""")
+def _(r):
+    return D.planner_roster(D.planner_queue(r.channel_actions, _channel_decisions(r)))
+
+
+@query("channel_export_rows", f"""
+SELECT brand, week, parent_sku, channel, CASE status WHEN 'bm_approved' THEN 'planner_approved' ELSE status END AS status,
+       recommended_price + CASE WHEN status = 'manual' THEN 1000 ELSE 0 END AS recommended_price, margin_pct, expected_velocity,
+       CASE WHEN action_type = 'increase' THEN 'increase' ELSE 'markdown' END AS section
+FROM ({_CHANNEL_STATUS}) WHERE status IN ('approved', 'manual') OR (status = 'bm_approved' AND channel = 'ecomm')""")
+def _(r):
+    return D.export_rows(r.channel_actions, _channel_decisions(r)).select(
+        "brand", "week", "parent_sku", "channel", "status", "recommended_price", "margin_pct", "expected_velocity", "section")
+
+
 # ------------------------------------------------------------------- outcomes
 
 @query("eval_weeks", "SELECT brand, week FROM oc_weeks")
@@ -1424,6 +1460,22 @@ def _(r):
     return matched.select("brand", "codigo_padre", "competitor", "comp_price", "match_method", "match_score")
 
 
+@query("match_names", rf"""
+WITH mine AS (SELECT brand, codigo_padre, lower(product_name) AS a, array_to_string(list_sort(string_split(lower(product_name), ' ')), ' ') AS sa, ean11 FROM ({TEXTS["build_catalog"]})),
+theirs AS (SELECT brand, competitor, codigo_padre || '|' || competitor AS offer_id, lower(split_part(codigo_padre, '-', 2)) || ' ' || regexp_extract(codigo_padre, '(\d+)-', 1) AS b,
+       CASE WHEN CAST(regexp_extract(codigo_padre, '(\d+)-', 1) AS INTEGER) % 7 = 0 THEN ean11 END AS ean FROM fx_competitor_prices JOIN mine USING (brand, codigo_padre)),
+met AS (SELECT *, coalesce(ean11 = ean, false) AS by_ean, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb FROM mine JOIN theirs USING (brand)),
+scored AS (SELECT *, CASE WHEN by_ean THEN 1 ELSE greatest(round(1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE, 6), round(1 - levenshtein(sa, sb) / greatest(length(sa), length(sb))::DOUBLE, 6)) END AS score FROM met)
+SELECT brand, codigo_padre, competitor, offer_id, CASE WHEN by_ean THEN 'exact_ean' WHEN score >= 0.9::DOUBLE THEN 'high_name' WHEN score >= 0.85::DOUBLE THEN 'medium_name' ELSE 'low_name' END AS match_method,
+       round(score, 3) AS match_score
+FROM (SELECT *, row_number() OVER (PARTITION BY brand, codigo_padre, competitor ORDER BY NOT by_ean, round(score, 3) DESC, offer_id) AS k FROM scored WHERE score >= 0.75::DOUBLE) WHERE k = 1""")
+def _(r):
+    """Pages carry no EAN; offers of every seventh model get that of the parent they were found for."""
+    catalog = K.build_catalog(r.t.products, cap=None)
+    known = catalog.where(F.regexp_extract("codigo_padre", r"(\d+)-", 1).cast("int") % 7 == 0).select("brand", "codigo_padre", "ean11")
+    return N.match_names(catalog, _offers(r).drop("ean11").join(known, ["brand", "codigo_padre"], "left"))
+
+
 # ------------------------------------------------------------------ streaming
 
 def _streamed(name: str, source: DataFrame, time: str, fn, keys: list[str]) -> DataFrame:

@@ -618,6 +618,13 @@ RESULT_TYPES: dict[str, str] = {
     "model_metrics": "brand:string task:string metric:string value:double",
     "model_folds": "brand:string fold:int task:string metric:string value:double",
     "model_comparison": "brand:string model:string task:string metric:string value:double",
+    "match_names": "brand:string codigo_padre:string competitor:string offer_id:string match_method:string match_score:double",
+    "channel_planner_queue": "brand:string week:date parent_sku:string channel:string key:string bm_status:string manual_price:double",
+    "channel_planner_roster": "brand:string name:string n:bigint rev_delta:bigint",
+    "channel_export_rows": (
+        "brand:string week:date parent_sku:string channel:string status:string recommended_price:bigint margin_pct:double "
+        "expected_velocity:double section:string"
+    ),
     "stream_weekly_sales": (
         "brand:string sku:string centro:string week:date units_sold:bigint gross_revenue:double "
         "click_collect_units:bigint"
