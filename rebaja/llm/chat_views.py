@@ -12,6 +12,11 @@ OPEN, CLOSE = "<|", "<|end|>\n"
 RUN = 1024
 
 
+def escaped(text: str | Column) -> Column:
+    """``text`` without the opening of a mark: ``<|`` becomes ``<\\|``, and ``<\\`` becomes ``<\\\\``, so that it can be read back."""
+    return F.replace(F.replace(text, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def blocked(messages: DataFrame) -> DataFrame:
     """Different messages (conv_id, turn, speaker, text) in runs of ``n`` equal ones from number ``first`` on, and the ``block`` of each run.
 
@@ -39,7 +44,10 @@ def perspectives(messages: DataFrame) -> DataFrame:
     are ordered by turn (null first), then speaker, then text; repeated rows
     keep their number. A null text is empty, a null role is the speaker
     "unknown"; blanks around a role are dropped. A conversation of scene
-    messages alone has no participant and no rows. Every group ordered by one
+    messages alone has no participant and no rows, as has an empty table. Other
+    columns are left behind, so names cannot clash. Marks inside a text or a
+    name are escaped, and line ends of a name are blanks in its segment, so no
+    message can pose as a turn of another speaker; ``name`` is as given. Every group ordered by one
     task is a block or the blocks of a conversation, never all its messages,
     whatever their turns: repeated rows are counted first and numbered last, and
     the others are cut by their order.
@@ -50,8 +58,8 @@ def perspectives(messages: DataFrame) -> DataFrame:
     seen = seen.select("m.conv_id", "m.turn", "m.block", "m.speaker", "m.text", "m.n", "m.first", F.col("p.speaker").alias("perspective"))
     role = F.when(F.col("speaker").isin(*SCENE), "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     seen = seen.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-    head = F.concat(F.lit(OPEN), F.col("role"), F.lit("|>"), F.coalesce(F.concat(F.lit(" "), F.col("name")), F.lit("")), F.lit("\n"))
-    seen = seen.withColumn("segment", F.concat(head, F.col("text"), F.lit(CLOSE))).withColumn("size", F.length("segment").cast("long"))
+    head = F.concat(F.lit(OPEN), F.col("role"), F.lit("|>"), F.coalesce(F.concat(F.lit(" "), F.translate(escaped(F.col("name")), "\r\n", "  ")), F.lit("")), F.lit("\n"))
+    seen = seen.withColumn("segment", F.concat(head, escaped(F.col("text")), F.lit(CLOSE))).withColumn("size", F.length("segment").cast("long"))
 
     key = ["conv_id", "perspective"]
     blocks = seen.groupBy(*key, "block").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n"))
@@ -77,7 +85,8 @@ SQL = """WITH m AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unkn
 p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM m WHERE speaker <> 'system'),
 s AS (SELECT conv_id, perspective, turn, speaker, text, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
       FROM m JOIN p ON conv_id IS NOT DISTINCT FROM c),
-g AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name, '<|' || role || '|>' || (CASE WHEN role = 'user' THEN ' ' || speaker ELSE '' END) || chr(10) || text || '<|end|>' || chr(10) AS segment FROM s),
+g AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name, '<|' || role || '|>' || (CASE WHEN role = 'user' THEN ' ' || translate(replace(replace(speaker, '<\\', '<\\\\'), '<|', '<\\|'), chr(13) || chr(10), '  ') ELSE '' END) || chr(10)
+      || replace(replace(text, '<\\', '<\\\\'), '<|', '<\\|') || '<|end|>' || chr(10) AS segment FROM s),
 o AS (SELECT *, row_number() OVER w - 1 AS position, coalesce(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM g WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
 SELECT conv_id, perspective, position, turn, role, name, segment, start, start + length(segment) AS stop,
