@@ -97,16 +97,17 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     the added kinds also needs ``THRESHOLD``, so that a national id counts only
     with context words before it. Context is the text between the previous
     match of the kind and this one, at most ``CONTEXT`` signs. A null or empty
-    text gives an empty array. Cost is linear in the text.
+    text gives an empty array. A column of ``docs`` called ``out`` gives way to
+    the result, all others stay, whatever their names. Cost is linear in the text.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = docs
+    df, own = docs, {f"{k}{s}": free_name(docs, f"__{k}{s}") for k in KINDS for s in ("", "_gaps", "_found")}
     for kind in KINDS:
         gaps, found = _matches(kind, whole)
-        df = df.withColumn(f"__{kind}_gaps", gaps).withColumn(f"__{kind}_found", found)
+        df = df.withColumn(own[f"{kind}_gaps"], gaps).withColumn(own[f"{kind}_found"], found)
     spans = []
     for rank, kind in enumerate(KINDS):
-        gaps, found = F.col(f"__{kind}_gaps"), F.col(f"__{kind}_found")
+        gaps, found = F.col(own[f"{kind}_gaps"]), F.col(own[f"{kind}_found"])
         n = F.size(found)
         widths = F.zip_with(F.transform(F.slice(gaps, 1, n), F.length), F.transform(found, F.length), lambda g, m: g + m)
         starts = F.zip_with(prefix_sums(widths), F.transform(F.slice(gaps, 1, n), F.length), lambda s, g: s + g)
@@ -117,10 +118,10 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
             F.lit(kind).alias("kind"), _score(kind, x["before"]).alias("score")))))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>")
     for kind, column in zip(KINDS, spans):
-        df = df.withColumn(f"__{kind}", F.coalesce(column.cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>"), empty))
-    every = F.concat(*[F.col(f"__{k}") for k in KINDS])
+        df = df.withColumn(own[kind], F.coalesce(column.cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>"), empty))
+    every = F.concat(*[F.col(own[k]) for k in KINDS])
     sure = F.filter(every, lambda x: (x["rank"] < len(BASE)) | (x["score"] >= THRESHOLD))
-    return df.withColumn(out, F.array_sort(sure)).drop(*[f"__{k}{s}" for k in KINDS for s in ("", "_gaps", "_found")])
+    return df.withColumn(out, F.array_sort(sure)).drop(*own.values())
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
