@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rebaja.session import materialise
@@ -42,6 +43,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def light_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Short runs of rows of at most ``size`` bytes of ``column``, or of one longer row."""
+    for batch in slices(batches, rows):
+        ends, at = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def prefix_sums(values: Column, block: int = 64) -> Column:
     """Sums of the elements before each element of an integer array.
 

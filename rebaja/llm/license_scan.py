@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rebaja.llm.common import U64, slices, texts
+from rebaja.llm.common import U64, light_slices, texts
 
 WORDS, CONTAINED, BANDS = 5, 0.8, 24
 #: Shingles of a template chunk, by size class: a template is cut into chunks of the largest class it fills.
@@ -36,6 +36,24 @@ TEMPLATES = {
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "lgpl-notice": "under the terms of the GNU Lesser General Public License as published by",
+    "agpl-notice": "under the terms of the GNU Affero General Public License as published by",
+    "lgpl-line": "This work is licensed under the GNU Lesser General Public License.",
+    "agpl-line": "This work is licensed under the GNU Affero General Public License.",
+    "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc0-line": "Released under the CC0 1.0 Universal Public Domain Dedication.",
+    "cc-by-nd-4.0-line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "boost-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "boost-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mit-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY",
+    "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-gpl-3.0": "SPDX-License-Identifier: GPL-3.0",
+    "spdx-bsd-3-clause": "SPDX-License-Identifier: BSD-3-Clause",
 }
 SCHEMA = "doc_id bigint, license string, containment double, first_word bigint, n_shingles bigint"
 
@@ -138,14 +156,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     A license is found when the document holds at least ``CONTAINED`` of the
     different 5-word shingles of its template. Documents with fewer than five
-    words, null or empty ones have none. Whole texts are read, once, without a
-    shuffle; the templates are a parameter of fixed size.
+    words, null or empty ones have none. Rows with one doc_id or one text are
+    separate rows of the result; other columns are left behind, so names cannot
+    clash. Whole texts are read, once, without a shuffle, some megabytes at a
+    time or one longer text; the templates are a parameter of fixed size.
     """
     templates = templates or TEMPLATES
 
     def scan(batches):
         known, hasher = Templates(templates), Hasher()
-        for batch in slices(batches):
+        for batch in light_slices(batches, 1):
             s, ends = hasher.of_texts(batch.column(1).to_pylist())
             ids, begins, rows = batch.column(0).to_pylist(), np.r_[0, ends[:-1]], []
             for doc, k in known.retrieve(s, ends) if len(s) else ():
