@@ -11,14 +11,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from rebaja.operators import channel as CH, elasticity as E, enhance as H, lifecycle as L, models as ML, outcomes as O
-from rebaja.operators import parent as R, pricing as A, signals as S, sizes as Z, weekly as W
+from rebaja.operators import parent as R, pricing as A, sizes as Z, weekly as W
 from rebaja.plans.child import ChildInputs, build_child_features
 from rebaja.session import materialise
 from rebaja.sources.steps import StepStore
 
 
 class WeeklyRun:
-    """Steps over one set of entity tables (see ``sources.retail``).
+    """Steps over one set of entity tables (``sources.retail``, or folders: ``sources.folders``).
 
     ``fast_elasticity`` uses the slope without month and trend controls, which
     SQL can express as well. ``scores`` maps the parent table to a table with
@@ -28,9 +28,14 @@ class WeeklyRun:
     def __init__(self, tables, fast_elasticity: bool = True, scores=A.formula_scores):
         self.t, self.fast, self.scores = tables, fast_elasticity, scores
 
+    @cached_property
+    def sales(self) -> DataFrame:
+        """Lines of products; bags, adjustments and other service SKUs enter no feature."""
+        return W.exclude_service_skus(self.t.transactions)
+
     @cached_property
     def panel(self) -> DataFrame:
-        return materialise(E.elasticity_panel(self.t.transactions, self.t.products, self.t.reference_prices), "panel")
+        return materialise(E.elasticity_panel(self.sales, self.t.products, self.t.reference_prices), "panel")
 
     @cached_property
     def elasticity(self) -> DataFrame:
@@ -48,9 +53,8 @@ class WeeklyRun:
     def child_inputs(self) -> ChildInputs:
         t = self.t
         return ChildInputs(
-            t.transactions, t.products, t.stores, t.traffic, t.stock, t.costs, self.elasticity, t.official_prices,
-            S.backorder_signal(t.po_lines, t.receipts), S.replenishment_signal(t.transfers), t.weather,
-            t.markdown_contribution)
+            self.sales, t.products, t.stores, t.traffic, t.stock, t.costs, self.elasticity, t.official_prices,
+            t.backorder, t.replenishment, t.weather, t.markdown_contribution)
 
     def child_features(self) -> DataFrame:
         return build_child_features(self.child_inputs())
@@ -61,11 +65,11 @@ class WeeklyRun:
 
     @cached_property
     def lifecycle(self) -> DataFrame:
-        sales = L.parent_weekly_sales(self.t.transactions, self.t.products)
+        sales = L.parent_weekly_sales(self.sales, self.t.products)
         return materialise(L.lifecycle_stage(sales), "lifecycle")
 
     def seasons(self) -> DataFrame:
-        return L.derive_season(L.parent_weekly_sales(self.t.transactions, self.t.products))
+        return L.derive_season(L.parent_weekly_sales(self.sales, self.t.products))
 
     @cached_property
     def sizes(self) -> DataFrame:
@@ -81,7 +85,7 @@ class WeeklyRun:
         return materialise(self.enhanced_features(), "enhanced")
 
     def parent_features(self) -> DataFrame:
-        weighted = R.weighted_size_features(self.t.stock, self.t.transactions, self.t.products)
+        weighted = R.weighted_size_features(self.t.stock, self.sales, self.t.products)
         return R.aggregate_to_parent(self.enhanced, self.t.products, weighted)
 
     @cached_property

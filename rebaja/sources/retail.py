@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rebaja import schemas
 from rebaja.functions.columns import week_start
+from rebaja.operators import signals as S
 from rebaja.session import materialise
 
 _PREFIXES = ["NI", "AD", "PM", "CAH", "BM", "ZZ"]
@@ -174,6 +175,14 @@ class RetailTables:
             F.when(F.col("fecha") >= F.col("o_orderdate"), F.col("fecha")).alias("fecha_recepcion"),
             F.abs("cantidad").alias("unidades"))
 
+    @cached_property
+    def backorder(self) -> DataFrame:
+        return S.backorder_signal(self.po_lines, self.receipts)
+
+    @cached_property
+    def replenishment(self) -> DataFrame:
+        return S.replenishment_signal(self.transfers)
+
     @cached_property
     def traffic(self) -> DataFrame:
         kind = F.col("event_type")
