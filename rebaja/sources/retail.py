@@ -33,7 +33,8 @@ class RetailTables:
     """Entity views over one directory of Parquet tables.
 
     The POS lines, from which most entities derive, are extracted once into a
-    table (``extract=False`` leaves them a view that every reader joins anew).
+    table, and so are stock and competitor prices (``extract=False`` leaves them
+    views that every reader joins anew).
     """
 
     def __init__(self, spark: SparkSession, path: str, extract: bool = True):
@@ -123,6 +124,10 @@ class RetailTables:
 
     @cached_property
     def stock(self) -> DataFrame:
+        """One row per day, store and SKU; written once, as features, sizes and availability each read it."""
+        return materialise(self.stock_view(), "stock") if self.extract else self.stock_view()
+
+    def stock_view(self) -> DataFrame:
         hand = (F.col("l_orderkey") % 7) * (F.col("l_linenumber") % 3)
         return (
             self.lines.groupBy("brand", "fecha", F.concat("centro", F.lit("-Tienda")).alias("store_id"), "sku")
@@ -207,7 +212,10 @@ class RetailTables:
 
     @cached_property
     def competitor_prices(self) -> DataFrame:
-        """One competitor per parent and supplier that delivers one of its parts."""
+        """One competitor per parent and supplier that delivers one of its parts; written once, as its readers name it several times."""
+        return materialise(self.competitor_price_view(), "competitor_prices") if self.extract else self.competitor_price_view()
+
+    def competitor_price_view(self) -> DataFrame:
         parents = self.parts.groupBy("brand", "codigo_padre", "q").agg(F.max("list_price").alias("lp"))
         sites = self.table("supplier").select("s_suppkey", "s_name")
         delivered = self.table("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()

@@ -132,3 +132,30 @@ def test_elasticity_panel_ignores_markdown_prices(spark):
     txn = lines(spark, [{}, {"precio_final": 50000.0, "list_category": "outlet"}, {"cantidad": 2, "precio_final": 180000.0}])
     row = one(E.elasticity_panel(txn, products))
     assert row.units == 4 and row.avg_price == 95000
+
+
+def test_folios_are_counted_beside_narrow_rows(spark):
+    """Null keys and null folios count as before, and lines cross the exchange as key and folio only."""
+    rows = [{"folio": "a"}, {"folio": "a"}, {"folio": "b"}, {"folio": "r", "cantidad": -1}, {"folio": None}, *[{"folio": f"x{i % 20}", "sku": None} for i in range(40)],
+            {"folio": None, "sku": "P-2"}, {"folio": "a", "centro": None, "fecha": None}]
+    txn = lines(spark, rows)
+    got = {(r.sku, r.centro, r.week): (r.txn_count, r.units_sold) for r in W.weekly_sales(txn).collect()}
+    assert got == {("P-1", "7501", MONDAY): (2, 4), (None, "7501", MONDAY): (20, 40), ("P-2", "7501", MONDAY): (0, 1), ("P-1", None, None): (1, 1)}
+    for df in (W.weekly_sales(txn), E.elasticity_panel(txn, spark.createDataFrame([], schemas.PRODUCTS))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        wide = [n for n in plan.splitlines() if "HashAggregate" in n and "folio" in n.split("functions=")[0] and "sum(" in n]
+        assert not wide, wide
+
+
+def test_stock_parent_sales_and_folios_are_written_once(run):
+    assert run.t.stock.inputFiles() and run.t.stock.inputFiles()[0].count("/stock-")
+    assert "/folios-" in run.folios.inputFiles()[0] and run.folios.schema == W.folio_counts(run.sales).schema
+    assert run.seasons().inputFiles() == run.parent_sales.inputFiles()
+    assert run.t.stock.exceptAll(run.t.stock_view()).count() == 0 == run.t.stock_view().exceptAll(run.t.stock).count()
+
+
+def test_competitor_prices_are_written_once(run):
+    """Pages and all that is read from them start from the written prices, not from the order lines."""
+    written = run.t.competitor_prices
+    assert not [f for f in written.inputFiles() if "lineitem" in f] and not [f for f in run.t.competitor_pages.inputFiles() if "lineitem" in f]
+    assert written.exceptAll(run.t.competitor_price_view()).count() == 0 == run.t.competitor_price_view().exceptAll(written).count()
