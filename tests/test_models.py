@@ -2,6 +2,7 @@
 import random
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from rebaja.operators import models as ML
@@ -99,3 +100,17 @@ def test_folds_and_comparison(planted):
     models = ML.compare_models(planted, SMALL, SMALL).collect()
     assert {(r.brand, r.model) for r in models} == {(b, m) for b in ("CENTRO", "NORTE", "SUR") for m in ("boosting", "forest", "linear")}
     assert all(r.value > 0.8 for r in models if r.metric == "auc")
+
+
+def test_rounds_of_boosting_are_not_cut_into_small_tasks(halves):
+    """A small table is boosted in one task however many files it came in; a large one keeps its partitions."""
+    seen = []
+
+    class Spy(GBTClassifier):
+        def _fit(self, dataset):
+            seen.append(dataset.rdd.getNumPartitions())
+            return super()._fit(dataset)
+
+    ML.train_classifier(halves[0].repartition(24, "week"), "should_reprice", estimator=Spy(maxIter=1, maxDepth=2, weightCol="weight"))
+    assert seen == [1]
+    assert [ML.boosting_tasks(n) for n in (0, 1, ML.ROWS_PER_TASK, ML.ROWS_PER_TASK + 1, 1000 * ML.ROWS_PER_TASK)] == [1, 1, 1, 2, 1000]
