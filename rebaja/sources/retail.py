@@ -25,6 +25,14 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def _brand(q: Column) -> Column:
+    return _pick(_BRANDS, q % 3)
+
+
+def _parent(q: Column) -> Column:
+    return F.concat(_pick(_PREFIXES, q % 6), q.cast("string"), F.lit("-"), "p_type")
+
+
 def _store(region: Column) -> Column:
     return F.when(region == 4, "AB04").otherwise(F.concat(F.lit("200"), region.cast("string")))
 
@@ -47,8 +55,7 @@ class RetailTables:
     def parts(self) -> DataFrame:
         q = F.regexp_replace("p_brand", "Brand#", "").cast("int")
         return self.table("part").select(
-            "p_partkey", "p_type", q.alias("q"), _pick(_BRANDS, q % 3).alias("brand"),
-            F.concat(_pick(_PREFIXES, q % 6), q.cast("string"), F.lit("-"), "p_type").alias("codigo_padre"),
+            "p_partkey", "p_type", q.alias("q"), _brand(q).alias("brand"), _parent(q).alias("codigo_padre"),
             (F.col("p_size") % 8).alias("size_ix"),
             F.round(F.col("p_retailprice") * 100).cast("double").alias("list_price"),
         )
@@ -80,7 +87,8 @@ class RetailTables:
         return materialise(self.line_view(), "lines") if self.extract else self.line_view()
 
     def line_view(self) -> DataFrame:
-        orders = self.table("orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+        rank = F.when(F.col("o_orderpriority") == "1-URGENT", 1).when(F.col("o_orderpriority") == "2-HIGH", 2)
+        orders = self.table("orders").select("o_orderkey", "o_orderdate", rank.cast("byte").alias("_priority"))
         supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
         nation = self.table("nation").select("n_nationkey", "n_regionkey")
         old = F.col("l_linestatus") == "F"
@@ -96,9 +104,9 @@ class RetailTables:
                 "brand", F.col("l_orderkey").cast("string").alias("folio"), "l_orderkey", "l_linenumber",
                 "l_returnflag", "l_linestatus", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"),
                 F.when((F.col("l_linenumber") == 7) & old, "NOTA DE CREDITO").otherwise("BOLETA").alias("tipo_documento"),
-                F.when(F.col("o_orderpriority") == "1-URGENT", "Retiro en Tienda").otherwise("Despacho")
+                F.when(F.col("_priority") == 1, "Retiro en Tienda").otherwise("Despacho")
                 .alias("tipo_entrega"),
-                F.when((F.col("o_orderpriority") == "2-HIGH") & (F.col("l_linenumber") == 1), "CUPON")
+                F.when((F.col("_priority") == 2) & (F.col("l_linenumber") == 1), "CUPON")
                 .alias("codigo_descuento"),
                 F.when(old & (F.col("l_linenumber") == 6), "liquidacion")
                 .when(old & (F.col("l_linenumber") == 5), "outlet").otherwise("retail").alias("list_category"),
@@ -218,8 +226,10 @@ class RetailTables:
     def competitor_price_view(self) -> DataFrame:
         parents = self.parts.groupBy("brand", "codigo_padre", "q").agg(F.max("list_price").alias("lp"))
         sites = self.table("supplier").select("s_suppkey", "s_name")
-        delivered = self.table("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
-        offers = delivered.join(self.parts, "p_partkey").select("brand", "codigo_padre", "q", "s_suppkey").distinct()
+        delivered = self.table("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
+        # parts meet lines before anything is made distinct, and the parent's names are spelt out after it
+        kinds = delivered.join(self.parts.select("p_partkey", "q", "p_type"), "p_partkey").select("q", "p_type", "s_suppkey").distinct()
+        offers = kinds.select(_brand(F.col("q")).alias("brand"), _parent(F.col("q")).alias("codigo_padre"), "q", "s_suppkey")
         shift = F.col("q") + F.col("s_suppkey")
         return (
             offers.join(parents, ["brand", "codigo_padre", "q"]).join(sites, "s_suppkey")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rebaja import schemas
-from rebaja.operators import elasticity as E, margin as M, signals as S, sizes as Z, weekly as W
+from rebaja.operators import elasticity as E, lifecycle as L, margin as M, signals as S, sizes as Z, weekly as W
 
 MONDAY = dt.date(2026, 4, 20)
 
@@ -159,3 +159,43 @@ def test_competitor_prices_are_written_once(run):
     written = run.t.competitor_prices
     assert not [f for f in written.inputFiles() if "lineitem" in f] and not [f for f in run.t.competitor_pages.inputFiles() if "lineitem" in f]
     assert written.exceptAll(run.t.competitor_price_view()).count() == 0 == run.t.competitor_price_view().exceptAll(written).count()
+
+
+def test_weekly_panel_and_parent_sales_read_one_table_of_sums(run):
+    """Only the sums are made from lines; what reads them gives the rows that it gives on the lines."""
+    assert "/line_totals-" in run.totals.inputFiles()[0]
+    sources = run.sales, run.t.products
+    parents = L.parent_weekly_sales(*sources, run.totals)
+    weekly = W.weekly_sales(run.sales, first=True, folios=run.folios, totals=run.totals)
+    panel = E.elasticity_panel(*sources, run.t.reference_prices, run.folios, run.totals)
+    for shared in (parents, weekly, panel):
+        assert not [f for f in shared.inputFiles() if "/lines-" in f]
+    for shared, apart in ((parents, L.parent_weekly_sales(*sources)), (weekly, W.weekly_sales(run.sales, first=True))):
+        assert shared.exceptAll(apart).count() == 0 == apart.exceptAll(shared).count()
+
+
+def test_parent_sales_are_sums_of_all_lines(spark):
+    products = spark.createDataFrame([("A", "P-1", "P"), ("A", "P-2", "P"), ("A", "P-3", None)], "brand string, material string, codigo_padre string")
+    txn = lines(spark, [{"cantidad": 2}, {"cantidad": -1}, {"sku": "P-2", "list_category": "outlet"}, {"sku": "P-3"}, {"sku": None}])
+    row = one(L.parent_weekly_sales(txn, products))
+    price = txn.first()
+    assert (row.units, row.n_sizes, row.revenue) == (3, 2, 2 * price.precio_final) and row.avg_discount_rate == pytest.approx(price.descuento / price.precio_lista)
+
+
+def test_open_orders_meet_receipts_by_key_and_place_only(spark, run):
+    po = spark.createDataFrame([
+        ("A", 1, "s", "P", "x", 10, "2020-01-09"), ("A", 1, "s", "P", "x", 4, "2020-01-02"), ("A", 1, "s", "P", None, 7, None), ("A", 2, "s", "P", "x", None, "2020-01-01"),
+        ("A", None, "s", None, "x", 3, "2020-02-01"), ("A", 3, "s", "P", "y", 5, "2020-03-01"), ("A", 2, "t", "P", "x", None, None)],
+        "brand string, oc_numero long, sku string, codigo_padre string, centro string, cantidad long, fecha_entrega string")
+    got = spark.createDataFrame([("A", 1, "s", 2), ("A", 1, "s", 1), ("A", 2, "s", 50), ("A", 3, "s", 5), ("A", None, "s", 9), ("A", 1, "s", None)],
+                                "brand string, oc_numero long, sku string, cantidad_recibida long")
+    rows = {(r.cod_padre, r.sku, r.centro): (r.open_qty, r.earliest_delivery, r.n_open_pos) for r in S.backorder_signal(po, got).collect()}
+    assert rows == {("P", "s", "x"): (8.0, "2020-01-01", 3), ("P", "s", None): (4.0, None, 1), (None, "s", "x"): (3.0, "2020-02-01", 1)}
+    joined = run.t.backorder._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert not [n for n in joined.splitlines() if "Project" in n and "fecha_entrega" in n]
+
+
+def test_suppliers_are_made_distinct_by_parent_only(run):
+    """Lines meet their parts first: no exchange of nearly all lines to find distinct pairs of part and supplier."""
+    plan = run.t.competitor_price_view()._jdf.queryExecution().optimizedPlan().toString()
+    assert not [n for n in plan.splitlines() if "Aggregate" in n and "partkey" in n]
