@@ -37,7 +37,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """
     def encode(batches):
         gc.disable()  # many small objects, no cycles
-        cache, part, before = warm((tokenizer, "token-files"), lambda: PartCache(Library(tokenizer, spaced=True), spaced=True, limit=300_000)), TaskContext.get().partitionId(), 0
+        cache, part, before = warm((tokenizer, "token-files"), lambda: PartCache(Library(tokenizer, spaced=True), spaced=True, limit=600_000)), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
         for batch in slices(batches):
             ids = [cache(x) + end for x in batch.column(1).to_pylist()]

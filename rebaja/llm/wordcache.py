@@ -16,12 +16,14 @@ from collections.abc import Callable
 import numpy as np
 
 CUT = re.compile(r"(?<=\S)(?= )")
+LETTERS, STOPS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "!#$%&*.,:;?"
 # Parts of these signs split the same way under either pattern: runs of letters, runs of stops, line ends.
-PLAIN = re.compile("[{0}](?:[{0}]|\n(?=[{0}]))*".format("A-Za-zÀ-ÖØ-öø-įı-ɏ.,")).fullmatch
-# A lone stop after a letter and before a space: a piece of its own under patterns that drop spaces.
-STOP = re.compile("(?<=[a-zà-öø-ÿ])([.,])(?= |$)").sub
-WORDS = re.compile("[^.,\n]+|[.,]+").findall
-PIECES = re.compile(" ?[^ .,\n]+| ?[.,]+|\n").findall
+PLAIN = re.compile(f"[{LETTERS}{STOPS}](?:[{LETTERS}{STOPS}]|\n(?=[{LETTERS}{STOPS}]))*").fullmatch
+WORD = re.compile(f"[{LETTERS}]+").fullmatch
+# A word and the stops after it: a piece each.
+STOPPED = re.compile(f"([{LETTERS}]+)([{STOPS}]+)").fullmatch
+WORDS = re.compile(f"[^{STOPS}\n]+|[{STOPS}]+").findall
+PIECES = re.compile(f" ?[^ {STOPS}\n]+| ?[{STOPS}]+|\n").findall
 
 
 _WARM: dict = {}
@@ -57,21 +59,23 @@ class Library:
         self.merges, self.signs = self.tokenizer.model.tokenize, _signs()
         self.spaced, self.limit, self.known = spaced, limit, {}
         self.split = PIECES if spaced else WORDS
+        self.packed = [struct.pack("<H", i) for i in range(self.tokenizer.get_vocab_size())]
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece != "\n":
             data = piece.replace(" ", self.signs[32])  # all other signs of such pieces stand for themselves
         else:
             data = piece.encode().decode("latin-1").translate(self.signs)
-        ids = [t.id for t in self.merges(data)]
-        return struct.pack(f"<{len(ids)}H", *ids)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merges(data)])
 
     def __call__(self, part: str) -> bytes:
-        if not PLAIN(part[1:] if self.spaced and part[:1] == " " else part):
+        word = part[1:] if self.spaced and part[:1] == " " else part
+        if WORD(word):
+            return self._piece(part if self.spaced else part.lower())
+        if not PLAIN(word):
             return np.array(self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, "<u2").tobytes()
         pieces = self.split(part if self.spaced else part.lower())
-        if len(pieces) == 1:
-            return self._piece(pieces[0])
         if len(self.known) > self.limit:
             self.known.clear()
         for piece in pieces:
@@ -81,35 +85,59 @@ class Library:
 
 
 class _Parts(dict):
-    """Ids of parts, made when first asked for. With ``strict``, a part that is empty or has a space at an end cannot stand alone: None."""
+    """Ids of parts, made when first asked for. With ``strict``, a part that is empty or has a space at an end cannot stand alone: None.
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str = "", strict: bool = False):
-        self.encode, self.lead, self.strict = encode, lead, strict
+    A part is kept once it is asked for again; those asked for once wait among
+    the ``recent`` ones, so rare parts do not push out frequent ones. With
+    ``stopped``, a word with stops after it has the ids of the word and those
+    of the stops.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], lead: str = "", strict: bool = False, stopped: bool = False):
+        self.encode, self.lead, self.strict, self.stopped, self.recent, self.ends = encode, lead, strict, stopped, {}, {}
+
+    def trim(self, limit: int) -> None:
+        for kept in (self, self.recent, self.ends):
+            if len(kept) > limit // 2:
+                kept.clear()
 
     def __missing__(self, part: str) -> bytes | None:
-        alone = not self.strict or part and not part[-1].isspace() and (self.lead or not part[0].isspace())
-        ids = self[part] = self.encode(self.lead + part) if alone else None
+        ids = self.recent.pop(part, None)
+        if ids is not None:
+            self[part] = ids
+            return ids
+        pair = STOPPED(part) if self.stopped else None
+        if pair:
+            word, stops = pair.groups()
+            end = self.ends.get(stops)
+            if end is None:
+                end = self.ends[stops] = self.encode(stops)
+            ids = self[word] + end
+        else:
+            alone = not self.strict or part and not part[-1].isspace() and (self.lead or not part[0].isspace())
+            ids = self.encode(self.lead + part) if alone else None
+        self.recent[part] = ids
         return ids
 
 
 class PartCache:
-    """Texts to ids as little-endian unsigned 16-bit integers, with ``encode`` for a part. Past ``limit`` parts the cache starts anew."""
+    """Texts to ids as little-endian unsigned 16-bit integers, with ``encode`` for a part. Of the parts asked for again and of the others about ``limit / 2`` are held."""
 
     def __init__(self, encode: Callable[[str], bytes], spaced: bool, limit: int = 500_000):
         """``spaced``: the space before a part belongs to it (byte-level patterns). Else spaces, line ends and case are dropped."""
         self.encode, self.spaced, self.limit = encode, spaced, limit
-        self.first, self.later = _Parts(encode, "", True), _Parts(encode, " " if spaced else "", spaced)
+        stopped = isinstance(encode, Library)  # its patterns part letters from stops
+        self.first, self.later = _Parts(encode, "", True, stopped), _Parts(encode, " " if spaced else "", spaced, stopped)
         self.line_end = encode("\n")
 
     def __call__(self, text: str) -> bytes:
         for cache in (self.first, self.later):
-            if len(cache) > self.limit:
-                cache.clear()
+            cache.trim(self.limit)
         get = self.later.__getitem__
         if not self.spaced:
             if "\u0130" not in text and "\u03a3" not in text:  # the two letters whose lower case is no matter of one letter
                 text = text.lower()
-            return b"".join(map(get, STOP(r" \1", text.replace("\n", " ")).split(" ")))
+            return b"".join(map(get, text.replace("\n", " ").split(" ")))
         try:
             lines = []
             for line in text.split("\n"):  # a line end between two non-spaces is a piece of its own
