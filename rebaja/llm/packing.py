@@ -47,14 +47,22 @@ def _cut(tokenizer: str, end_id: int):
     return cut
 
 
+def term_counts(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tail, term, how often) of each term of each tail, by tail and term: one sort for all tails."""
+    kind = np.uint32 if len(tails) <= 1 << 16 else np.uint64
+    keys = np.repeat(np.arange(len(tails), dtype=kind) << kind(16), [len(t) for t in tails]) | np.concatenate([*tails, np.empty(0, "<u2")]).astype(kind)
+    keys.sort()
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return (keys[at] >> kind(16)).astype(np.intp), (keys[at] & kind(0xFFFF)).astype(np.intp), np.diff(np.r_[at, len(keys)])
+
+
 def _frequencies(batches):
     """Documents per id, summed inside the task."""
     df, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
-    for batch in batches:
-        for data in batch.column(0).to_pylist():
-            ids = np.frombuffer(data, "<u2")
-            df[np.unique(ids)] += 1
-            n, total = n + 1, total + len(ids)
+    for batch in slices(batches):
+        tails = [np.frombuffer(data, "<u2") for data in batch.column(0).to_pylist()]
+        df += np.bincount(term_counts(tails)[1], minlength=VOCABULARY)
+        n, total = n + len(tails), total + sum(map(len, tails))
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, at]), pa.array(np.r_[n, total, df[at]])], names=["id", "n"])
 
@@ -63,19 +71,14 @@ class Shard:
     """BM25 inverted index of the tails of one shard, with the statistics of all tails."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
-        docs, ids, weights = [], [], []
-        self.terms = []
-        for k, tail in enumerate(tails):
-            term, tf = np.unique(tail, return_counts=True)
-            told = idf[term] > 0
-            term, tf = term[told], tf[told]
-            self.terms.append(term)
-            docs.append(np.full(len(term), k, np.int32))
-            ids.append(term)
-            weights.append(idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tail) / mean)))
-        ids = np.concatenate(ids)
-        order = np.argsort(ids, kind="stable")
-        self.docs, self.weights = np.concatenate(docs)[order], np.concatenate(weights)[order]
+        docs, ids, tf = term_counts(tails)
+        told = idf[ids] > 0
+        docs, ids, tf = docs[told], ids[told], tf[told]
+        sizes = np.array([len(t) for t in tails])
+        weights = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / mean))
+        self.terms = np.split(ids, np.searchsorted(docs, np.arange(1, len(tails))))
+        order = np.argsort(ids.astype("<u2"), kind="stable")
+        self.docs, self.weights = docs[order], weights[order]
         self.ends = np.cumsum(np.bincount(ids, minlength=VOCABULARY))
         self.starts = np.r_[0, self.ends[:-1]]
         self.n = len(tails)

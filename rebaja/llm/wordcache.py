@@ -21,7 +21,7 @@ LETTERS, STOPS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "!#$%&*.,:;?"
 PLAIN = re.compile(f"[{LETTERS}{STOPS}](?:[{LETTERS}{STOPS}]|\n(?=[{LETTERS}{STOPS}]))*").fullmatch
 WORD = re.compile(f"[{LETTERS}]+").fullmatch
 # A word and the stops after it: a piece each.
-STOPPED = re.compile(f"([{LETTERS}]+)([{STOPS}]+)").fullmatch
+STOPPED = re.compile(f"([{LETTERS}]++)([{STOPS}]++)").fullmatch
 WORDS = re.compile(f"[^{STOPS}\n]+|[{STOPS}]+").findall
 PIECES = re.compile(f" ?[^ {STOPS}\n]+| ?[{STOPS}]+|\n").findall
 
@@ -58,7 +58,7 @@ class Library:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         self.merges, self.signs = self.tokenizer.model.tokenize, _signs()
         self.spaced, self.limit, self.known = spaced, limit, {}
-        self.split = PIECES if spaced else WORDS
+        self.split, self.space = PIECES if spaced else WORDS, self.signs[32]
         self.packed = [struct.pack("<H", i) for i in range(self.tokenizer.get_vocab_size())]
 
     def _piece(self, piece: str) -> bytes:
@@ -66,11 +66,16 @@ class Library:
             data = piece.replace(" ", self.signs[32])  # all other signs of such pieces stand for themselves
         else:
             data = piece.encode().decode("latin-1").translate(self.signs)
+        return self._merged(data)
+
+    def _merged(self, data: str) -> bytes:
         packed = self.packed
         return b"".join([packed[t.id] for t in self.merges(data)])
 
     def __call__(self, part: str) -> bytes:
         word = part[1:] if self.spaced and part[:1] == " " else part
+        if word.isascii() and word.isalpha():
+            return self._merged(part.replace(" ", self.space) if self.spaced else part.lower())
         if WORD(word):
             return self._piece(part if self.spaced else part.lower())
         if not PLAIN(word):
@@ -106,7 +111,7 @@ class _Parts(dict):
         if ids is not None:
             self[part] = ids
             return ids
-        pair = STOPPED(part) if self.stopped else None
+        pair = STOPPED(part) if self.stopped and part[-1:] in STOPS else None
         if pair:
             word, stops = pair.groups()
             end = self.ends.get(stops)
