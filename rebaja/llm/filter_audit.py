@@ -51,7 +51,9 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     what it removes were gone before: redundant. Survivors follow from the
     removals of the steps. All joins are on ids that are told apart by row, so
     no part, filter or frequent text gathers in a task; counts alone meet the
-    orders. A part without failures has rows of zeros; no documents, no rows.
+    orders. Sets and labels grow with the input and are planned from the size
+    of their files, before rows are repeated per set, so their joins are merges:
+    no driver gathers them for a broadcast. A part without failures has rows of zeros; no documents, no rows.
     """
     spark = docs.sparkSession
     every, ids = failing_ids(docs)
@@ -60,12 +62,12 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = [fails.withColumn("kind", F.lit("all"))]
     for kind, column in (("good", "quality"), ("toxic", "toxic")):
         chosen = labels.where(F.col(column) == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
-        marked.append(fails.join(chosen, "doc_id", "left_semi").withColumn("kind", F.lit(kind)).select(*marked[0].columns))
+        marked.append(fails.join(chosen.hint("merge"), "doc_id", "left_semi").withColumn("kind", F.lit(kind)).select(*marked[0].columns))
     rows = marked[0].unionByName(marked[1]).unionByName(marked[2])
     sets = F.explode(F.sequence(F.lit(0), F.lit(31)))
     gone = fails.select("row", "bit", sets.alias("before")).where(F.col("before").bitwiseAND(F.col("bit")) != 0).select("before", "row")
     asked = rows.select("kind", "part", "bit", "row", sets.alias("before")).where(F.col("before").bitwiseAND(F.col("bit")) == 0)
-    counts = materialise(asked.join(gone, ["before", "row"], "left_anti").groupBy("part", "before", "bit").agg(
+    counts = materialise(asked.join(gone.hint("merge"), ["before", "row"], "left_anti").groupBy("part", "before", "bit").agg(
         *[F.count_if(F.col("kind") == k).alias(c) for k, c in (("all", "removed"), ("good", "good_lost"), ("toxic", "toxic_lost"))]), "audit-counts")
     return _over_orders(spark, every.groupBy("part").agg(F.count("*").alias("documents")), counts)
 

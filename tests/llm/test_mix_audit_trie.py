@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rebaja.llm import filter_audit, prefix_trie, source_mix
 from rebaja.llm.queries import QUERIES, SQL
+from rebaja.session import materialise
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -157,6 +158,23 @@ def test_audit_of_odd_rows(spark):
     assert filter_audit.audit(df, lab.where("false")).agg(F.sum("good_lost")).first()[0] == 0
 
 
+def test_audit_sends_no_set_or_label_through_the_driver(spark, monkeypatch):
+    rows = [(i % 40, "A b $ " * (i % 7), "en" if i % 3 else "es") for i in range(60)] + [(None, "same", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = [(i, int(i % 4 == 0), int(i % 4 == 1)) for i in range(30)] + [(3, 1, 0), (None, 1, 1)]
+    lab = materialise(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "labels")  # a file, whose size is known to the planner
+    plans = {}
+
+    def kept(out, name):
+        plans[name] = out._jdf.queryExecution().sparkPlan().toString()
+        return materialise(out, name)
+
+    monkeypatch.setattr(filter_audit, "materialise", kept)
+    got = sorted(map(tuple, filter_audit.audit(df, lab).collect()))
+    assert got == slow_audit(rows, {i for i, q, _ in labels if q and i is not None}, {i for i, _, t in labels if t and i is not None})
+    assert plans["audit-counts"].count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plans["audit-counts"]
+
+
 # ---------------------------------------------------------------- trie
 
 def slow_trie(rows):
