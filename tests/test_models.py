@@ -2,10 +2,12 @@
 import random
 
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from rebaja.operators import models as ML
+from rebaja.session import materialise
 
 SMALL = ML.Settings(rounds=8, depth=3, max_bins=32, step=0.3)
 
@@ -102,6 +104,24 @@ def test_folds_and_comparison(planted):
     assert all(r.value > 0.8 for r in models if r.metric == "auc")
 
 
+def test_kinds_learn_from_matrices_written_once(planted, monkeypatch):
+    """Each brand has one matrix per target, whatever the kinds; a kind fares as if it were trained by itself."""
+    names = []
+
+    def counted(df, name):
+        names.append(name)
+        return materialise(df, name)
+
+    monkeypatch.setattr(ML, "materialise", counted)
+    got = {(r.brand, r.task, r.metric): r.value for r in ML.compare_models(planted, SMALL, SMALL).where("model = 'linear'").collect()}
+    assert names.count("training_rows") == 1 and names.count("matrix") == 6
+    split = ML.holdout_split(planted)
+    train, test = split.where("not is_holdout").drop("is_holdout"), split.where("is_holdout").drop("is_holdout")
+    alone = ML.train_brands(train, models=(LogisticRegression(regParam=0.01, weightCol="weight"), LinearRegression(regParam=0.01)))
+    want = {(r.brand, r.task, r.metric): r.value for r in ML.model_metrics(ML.score_brands(test, alone), ["brand"]).collect()}
+    assert got == pytest.approx(want) and len(got) == 24
+
+
 def test_rounds_of_boosting_are_not_cut_into_small_tasks(halves):
     """A small table is boosted in one task however many files it came in; a large one keeps its partitions."""
     seen = []
